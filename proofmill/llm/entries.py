@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from proofmill.llm import exactdedup, idstore, mixing
+from proofmill.llm import exactdedup, idstore, jaccard, mixing
 from proofmill.llm.common import table
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idstore.token_store(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -25,6 +29,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_jaccard_join": op2_jaccard_join,
         "op7_token_output": op7_token_output,
         "op9_mixing": op9_mixing,
         "op10_exact_dedup": op10_exact_dedup,
