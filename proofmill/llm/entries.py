@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from proofmill.llm import exactdedup, idstore, jaccard, mixing, quality, toxicity
+from proofmill.llm import decontaminate, exactdedup, idstore, jaccard, mixing, quality, toxicity
 from proofmill.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,6 +42,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_jaccard_join": op2_jaccard_join,
+        "op4_decontamination": op4_decontamination,
         "op5_toxicity": op5_toxicity,
         "op7_token_output": op7_token_output,
         "op8_quality": op8_quality,
@@ -48,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_decontamination": decontaminate.ORACLE,
         "op9_mixing": mixing.ORACLE,
         "op10_exact_dedup": exactdedup.ORACLE,
     }
