@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from proofmill.llm import decontaminate, exactdedup, idstore, jaccard, mixing, quality, toxicity
+from proofmill.llm import decontaminate, exactdedup, idstore, jaccard, mixing, quality, secrets, toxicity
 from proofmill.llm.common import table
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_secret_scan": op1_secret_scan,
         "op2_jaccard_join": op2_jaccard_join,
         "op4_decontamination": op4_decontamination,
         "op5_toxicity": op5_toxicity,
@@ -53,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_secret_scan": secrets.ORACLE,
         "op4_decontamination": decontaminate.ORACLE,
         "op9_mixing": mixing.ORACLE,
         "op10_exact_dedup": exactdedup.ORACLE,
