@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from proofmill.llm import decontaminate, exactdedup, idstore, jaccard, mixing, quality, secrets, toxicity
+from proofmill.llm import chat, decontaminate, exactdedup, idstore, jaccard, mixing, quality, secrets, toxicity, wordpiece
 from proofmill.llm.common import table
 
 
@@ -19,6 +20,10 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chat(table(spark, sf_dir, "conversations"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -27,6 +32,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.count_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idstore.token_store(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -47,12 +56,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
         "op2_jaccard_join": op2_jaccard_join,
+        "op3_chat_formatting": op3_chat_formatting,
         "op4_decontamination": op4_decontamination,
         "op5_toxicity": op5_toxicity,
+        "op6_token_counts": op6_token_counts,
         "op7_token_output": op7_token_output,
         "op8_quality": op8_quality,
         "op9_mixing": op9_mixing,
         "op10_exact_dedup": op10_exact_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 

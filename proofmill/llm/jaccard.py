@@ -337,3 +337,15 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = reps.join(labels, "set_id", "left").join(smallest, "label", "left").select("set_id", F.coalesce("component_id", "rep").alias("component_id"))
     empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("set_id"))
     return rows.where("n > 0").join(found, "set_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "set_id").union(empty)
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row of each component of ``jaccard_classes``, the one with the smallest doc_id, with the columns of ``docs``.
+
+    Of rows that repeat both id and text one stays. Rows without words are linked with nothing and stay; so do rows
+    with a null id whose component has no other id.
+    """
+    kept = jaccard_classes(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    rows = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    return rows.withColumn("_text_key", key).dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")
