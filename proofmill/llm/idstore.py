@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -32,16 +33,21 @@ END_ID = 1
 WIDTH = 2
 #: A chunk ends where the rolling hash of the last WINDOW ids has MASK's bits clear, within LEAST and MOST ids.
 WINDOW, MASK, LEAST, MOST = 8, 511, 64, 4096
-#: Words a worker remembers; the memory is emptied when full.
-REMEMBERED = 300_000
+#: Words of one of a worker's two memories; the older is given up when the younger is full.
+REMEMBERED = 700_000
 #: Digests of chunks a task remembers to have sent.
 SENT = 500_000
 
 _GEAR = np.random.Generator(np.random.PCG64(7)).integers(0, 2**32, 1 << 16, dtype=np.uint32)
 _ODD = np.array([pow(0x01000193, j, 2**32) for j in range(WINDOW)], np.uint32)
 _tokenizers: dict[str, object] = {}
-_words: dict[bytes, bytes] = {}
-_PUNCTUATION = frozenset(b",.!?;:")
+_word_ends: dict[str, np.ndarray] = {}
+#: Ids of the words of late, and those of the words before.
+_young: dict[str, bytes] = {}
+_old: dict[str, bytes] = {}
+_LETTERS, _NUMBERS, _BLANKS = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+#: Fixed value: the tokenizer's own splitting pattern, with its character classes written out for Latin-1.
+LATIN_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_BLANKS}{_LETTERS}{_NUMBERS}]+")
 
 
 def _tokenizer(path: str):
@@ -49,43 +55,67 @@ def _tokenizer(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path)
+        _tokenizers[path] = tokenizer = Tokenizer.from_file(path)
+        ends = np.zeros(1 << (8 * WIDTH), bool)
+        ends[[i for piece, i in tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
+        _word_ends[path] = ends
     return _tokenizers[path]
 
 
+def _pack(ids: list[int]) -> bytes:
+    return np.array(ids, f"<u{WIDTH}").tobytes()
+
+
+def _learn(words: list[str], path: str) -> None:
+    """Put the ids of these words into the younger memory; each goes to the library once."""
+    missing = []
+    for w in words:
+        if (ids := _old.get(w)) is None:
+            missing.append(w)
+        else:
+            _young[w] = ids
+    tokenizer, ends = _tokenizer(path), _word_ends[path]
+    plain = [w for w in missing if w.isalpha()]
+    for k in range(0, len(plain), 10_000):
+        # a run of letters is one word to the library, which ends in one piece with a word end
+        some = plain[k : k + 10_000]
+        ids = np.array(tokenizer.encode(" ".join(some), add_special_tokens=False).ids, f"<u{WIDTH}")
+        cuts = [0, *((np.flatnonzero(ends[ids]) + 1) * WIDTH).tolist()]
+        if len(cuts) != len(some) + 1:
+            raise ValueError("the tokenizer's words are not runs of letters")
+        data = ids.tobytes()
+        _young.update((w, data[a:b]) for w, a, b in zip(some, cuts, cuts[1:], strict=False))
+    other = [w for w in missing if not w.isalpha()]
+    for w, e in zip(other, tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
+        _young[w] = _pack(e.ids)
+
+
 def encode_texts(texts: list[bytes], path: str) -> list[bytes]:
     """Each text's ids, WIDTH bytes each, with END_ID appended.
 
-    The tokenizer splits at white space before its merges, so a text's ids are those of its words in order. Each
-    distinct word goes to the library once and is remembered. A word of ASCII letters before one final punctuation
-    mark is two pieces to the library's own splitter, so its ids are those of both parts.
+    The tokenizer lower-cases, and splits a text into words by a pattern before any merge, so a text's ids are those of
+    its words in order. For texts of Latin-1 characters LATIN_WORD finds the same words. Other texts, and those that
+    may hold a special token, go to the library whole.
     """
-    split = [t.split() for t in texts]
-    if len(_words) > REMEMBERED:
-        _words.clear()
-    missing = {w for words in split for w in words if w not in _words}
-    if missing:
-        parts = {w: _parts(w) for w in missing}
-        new = [p for p in {p for ps in parts.values() for p in ps} if p not in _words]
-        for k in range(0, len(new), 20_000):
-            some = new[k : k + 20_000]
-            for p, e in zip(some, _tokenizer(path).encode_batch_fast([p.decode("utf-8", "replace") for p in some], add_special_tokens=False), strict=True):
-                _words[p] = np.array(e.ids, f"<u{WIDTH}").tobytes()
-        for w, ps in parts.items():
-            if len(ps) > 1 or ps[0] != w:
-                _words[w] = b"".join(_words[p] for p in ps)
+    global _young, _old
+    if len(_young) > REMEMBERED:
+        _young, _old = {}, _young
+    split: list[list[str] | bytes] = []
+    for t in texts:
+        if b"<|" not in t:
+            try:
+                text = t.decode("utf-8")
+                text.encode("latin-1")
+                split.append(LATIN_WORD.findall(text.lower()))
+                continue
+            except UnicodeError:
+                pass
+        split.append(_pack(_tokenizer(path).encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids))
+    words_now = set().union(*(words for words in split if isinstance(words, list)))
+    _learn([w for w in words_now if w not in _young], path)
     end = END_ID.to_bytes(WIDTH, "little")
-    get = _words.__getitem__
-    return [b"".join(map(get, words)) + end for words in split]
-
-
-def _parts(word: bytes) -> tuple[bytes, ...]:
-    if b"<|" in word or not word.isascii():
-        return (word,)
-    word = word.lower()  # as the tokenizer's normaliser does
-    if len(word) > 1 and word[-1] in _PUNCTUATION and word[:-1].isalpha():
-        return (word[:-1], word[-1:])
-    return (word,)
+    get = _young.__getitem__
+    return [b"".join(map(get, words)) + end if isinstance(words, list) else words + end for words in split]
 
 
 def cut(ids: np.ndarray) -> list[int]:
