@@ -33,6 +33,8 @@ WORDS = 5
 FREQUENT = 65_536
 #: n-grams that one count, or one run of index entries, is made from.
 RUN = 1_500_000
+#: Bits of the largest filter of set ids, and bytes of its blocks.
+FILTER, BLOCK = 1 << 25, 1 << 13
 #: Linked: 7 * intersection >= 3 * (size + size), which is 100 * intersection >= 75 * union.
 NUM, DEN = 3, 7
 
@@ -79,7 +81,9 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _LISTS = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("gram", "set_id", "n", "pos", "rare"))])
-_TYPES = {"gram": np.uint64, "set_id": np.int64, "n": np.uint32, "pos": np.uint32, "rare": np.uint32}
+#: What a run sends to a bucket: an entry has half a hash and a place; what belongs to the set is there once, with its number of entries.
+_RUNS = _LISTS.append(pa.field("times", pa.binary()))
+_TYPES = {"gram": np.uint32, "set_id": np.int64, "n": np.uint32, "pos": np.uint32, "rare": np.uint32}
 
 
 def _index(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, rank: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -91,18 +95,19 @@ def _index(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, rank: np.nda
     def dealt() -> pa.RecordBatch:
         gram = np.concatenate([e[0] for e in entries])
         lengths = [len(e[0]) for e in entries]
-        columns = {"gram": gram, "pos": np.concatenate([np.arange(x) for x in lengths])}
-        for k, name in ((1, "set_id"), (2, "n"), (3, "rare")):
-            columns[name] = np.repeat(np.array([e[k] for e in entries], _TYPES[name]), lengths)
+        pos, owner = np.concatenate([np.arange(x) for x in lengths]), np.repeat(np.arange(len(entries)), lengths)
+        ids, n, rare = (np.array([e[k] for e in entries], kind) for k, kind in ((1, np.int64), (2, np.uint32), (3, np.uint32)))
         bucket = (mix(gram) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         present, first = np.unique(bucket[order], return_index=True)
-        cuts = [*first.tolist(), len(order)]
-        rows = {"bucket": pa.array(present.astype(np.int32))}
-        for name, kind in _TYPES.items():
-            data = columns[name][order].astype(kind)
-            rows[name] = pa.array([data[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())
-        return pa.RecordBatch.from_arrays([rows[f.name] for f in _LISTS], schema=_LISTS)
+        rows = []
+        for name, lo, hi in zip(present.tolist(), first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
+            at = order[lo:hi]
+            owners, times = np.unique(owner[at], return_counts=True)
+            wide = np.uint16 if pos[at].max() < 1 << 16 else np.uint32
+            parts = ((gram[at] >> np.uint64(32)).astype(np.uint32), ids[owners], n[owners], pos[at].astype(wide), rare[owners], times.astype(np.uint32))
+            rows.append((name, *(x.tobytes() for x in parts)))
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _RUNS, strict=True)], schema=_RUNS)
 
     for batch in batches:
         for _, grams in _sets(batch.column(0)):
@@ -134,9 +139,19 @@ def _load(table: pa.Table | pa.RecordBatch) -> dict[str, np.ndarray]:
 
 
 def _lists(key: tuple, table: pa.Table) -> pa.Table:
-    """The lists of a bucket that have two sets at least, ordered by n-gram and then by size."""
-    c = _load(table)
-    order = np.lexsort((c["set_id"], c["n"], c["gram"]))
+    """The lists of a bucket that have two sets at least, ordered by n-gram and then by size.
+
+    n-grams of equal half hashes share a list, which only adds pairs to compare; a set is in it at its first place.
+    """
+    c: dict[str, list[np.ndarray]] = {k: [] for k in _TYPES}
+    for row in table.to_pylist():
+        times, gram = np.frombuffer(row["times"], np.uint32), np.frombuffer(row["gram"], np.uint32)
+        c["gram"].append(gram)
+        c["pos"].append(np.frombuffer(row["pos"], np.uint16 if len(row["pos"]) == 2 * len(gram) else np.uint32).astype(np.uint32))
+        for k in ("set_id", "n", "rare"):
+            c[k].append(np.repeat(np.frombuffer(row[k], _TYPES[k]), times))
+    c = {k: np.concatenate(v) for k, v in c.items()}
+    order = np.lexsort((c["pos"], c["set_id"], c["n"], c["gram"]))
     c = {k: v[order] for k, v in c.items()}
     new = np.ones(len(order), bool)
     new[1:] = (c["gram"][1:] != c["gram"][:-1]) | (c["set_id"][1:] != c["set_id"][:-1])
@@ -236,12 +251,45 @@ def _bucket_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), bucket, np.int32)), pa.array(ids)], names=["bucket", "set_id"])
 
 
-def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bits(ids: np.ndarray, size: int) -> np.ndarray:
+    """The places of ids in a Bloom filter of so many bits, one row for each of its hashes."""
+    return np.stack([mix(ids.view(np.uint64) + np.uint64(k)) % np.uint64(size) for k in range(1, 5)])
+
+
+def _filter_part(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(size, bool)
+    some = False
+    for batch in batches:
+        for column in batch.columns:
+            bits[_bits(column.to_numpy(), size).ravel()] = True
+            some = True
+    if some:
+        blocks = np.packbits(bits).reshape(-1, BLOCK)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array([x.tobytes() for x in blocks], pa.binary())], names=["block", "bits"])
+
+
+def _filter_union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    blocks: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x = np.frombuffer(bits, np.uint8)
+            blocks[block] = blocks[block] | x if block in blocks else x
+    if blocks:
+        yield pa.RecordBatch.from_arrays([pa.array([*blocks], pa.int32()), pa.array([x.tobytes() for x in blocks.values()], pa.binary())], names=["block", "bits"])
+
+
+def _gram_rows(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(set_id, n-grams) of the sets that the filter lets pass."""
+    seen: set[int] = set()
     for batch in batches:
         ids, grams = [], []
         for _, g in _sets(batch.column(0)):
-            ids.append(_set_id(g))
-            grams.append(g.tobytes())
+            sid = _set_id(g)
+            at = _bits(np.array([sid], np.int64), 8 * len(wanted)).ravel()
+            if sid not in seen and ((wanted[at >> np.uint64(3)] >> (7 - (at & np.uint64(7)))) & np.uint64(1)).all():
+                seen.add(sid)
+                ids.append(sid)
+                grams.append(g.tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(grams, pa.binary())], names=["set_id", "grams"])
 
 
@@ -257,7 +305,24 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(batch.columns[:2], schema=_PAIRS).filter(pa.array(linked, pa.bool_()))
 
 
-def _verified(pairs: DataFrame, grams: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs that are linked, by exact comparison.
+
+    The n-grams of their sets are made again from the texts; a Bloom filter of FILTER bits at most keeps those of other
+    sets from the shuffle, and the joins with the pairs drop what it lets pass by mistake.
+    """
+    spark = texts.sparkSession
+    size, least = 1 << 16, 32 * pairs.count()
+    while size < min(FILTER, least):
+        size *= 2
+    schema = "block int, bits binary"
+    parts = pairs.mapInArrow(partial(_filter_part, size=size), schema).repartition(partitions(spark), "block").mapInArrow(_filter_union, schema).toArrow()
+    blocks = np.zeros((size // 8 // BLOCK, BLOCK), np.uint8)
+    for block, bits in zip(parts.column("block").to_pylist(), parts.column("bits").to_pylist(), strict=True):
+        blocks[block] = np.frombuffer(bits, np.uint8)
+    wanted = blocks.ravel()
+    grams = texts.select("text").mapInArrow(partial(_gram_rows, wanted=wanted), "set_id long, grams binary").dropDuplicates(["set_id"])
+    grams = stored(grams, "grams")
     left = grams.select(F.col("set_id").alias("a"), F.col("grams").alias("grams_a"))
     right = grams.select(F.col("set_id").alias("b"), F.col("grams").alias("grams_b"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "grams_a", "grams_b").mapInArrow(_compare, "a long, b long")
@@ -315,22 +380,18 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = profile.where("gram is null").select("doc_id", "n", "set_id")
 
     frequent, rank = _frequent(stored(profile.where("gram is not null").groupBy("gram").agg(F.sum("times").alias("times")), "gram-counts"))
-    buckets = 2 * partitions(spark)
-    entries = texts.select("text").mapInArrow(partial(_index, frequent=frequent, rank=rank, buckets=buckets), "bucket int, gram binary, set_id binary, n binary, pos binary, rare binary")
-    lists = stored(entries.groupBy("bucket").applyInArrow(_lists, entries.schema), "lists")
+    columns = "bucket int, gram binary, set_id binary, n binary, pos binary, rare binary"
+    entries = texts.select("text").mapInArrow(partial(_index, frequent=frequent, rank=rank, buckets=partitions(spark)), columns + ", times binary")
+    lists = stored(entries.groupBy("bucket").applyInArrow(_lists, columns), "lists")
 
     pairs = stored(lists.mapInArrow(_stars, "a long, b long").distinct(), "stars")
     held = lists.select("bucket", "set_id").mapInArrow(_bucket_sets, "bucket int, set_id long")
-    reps = rows.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    wanted = reps.join(held.select("set_id").distinct(), "set_id", "left_semi").select("rep").distinct()
-    grams = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["rep"]), "left_semi").select("text").mapInArrow(_gram_rows, "set_id long, grams binary").dropDuplicates(["set_id"])
-    grams = stored(grams, "grams")
-
-    links = stored(_verified(pairs, grams), "links")
+    reps = stored(rows.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep")), "sets")
+    links = stored(_verified(pairs, texts), "links")
     labels = components(links).select(F.col("node").alias("set_id"), "label")
     known = held.join(labels, "set_id").select("bucket", "set_id", "label")
     more = lists.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_unconnected, "a long, b long").distinct()
-    more = stored(_verified(more, grams), "more-links")
+    more = stored(_verified(stored(more, "unconnected"), texts), "more-links")
     labels = components(links.union(more)).select(F.col("node").alias("set_id"), "label")
 
     smallest = labels.join(reps, "set_id").groupBy("label").agg(F.min("rep").alias("component_id"))
