@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -51,3 +54,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send the package to the executors, once per context, so that Python workers find it on any machine."""
+    context = spark.sparkContext
+    if not getattr(context, "_proofmill_shipped", False):
+        root = os.path.dirname(os.path.abspath(__file__))
+        # executors fetch the file from the driver when they first need it, so it stays until the driver ends
+        folder = tempfile.mkdtemp(prefix="proofmill-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        shutil.copytree(root, f"{folder}/tree/proofmill", ignore=shutil.ignore_patterns("__pycache__"))
+        context.addPyFile(shutil.make_archive(f"{folder}/proofmill", "zip", f"{folder}/tree"))
+        context._proofmill_shipped = True
+    return spark
