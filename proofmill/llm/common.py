@@ -98,33 +98,34 @@ def _hash_words(data: bytes, separators: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, mix(hashes + (ends - starts).astype(np.uint64) * _PLACES[0])
 
 
-def word_hashes(texts: list[bytes], separators: np.ndarray = SPACES) -> Iterator[tuple[int, np.ndarray]]:
-    """(index, hashes of its words in order) for each text. Equal words have equal hashes in every process."""
-    pending: list[tuple[int, bytes]] = []
+def _word_groups(texts: list[bytes], separators: np.ndarray) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """(rows, cuts, hashes): the words of some texts in one array, text k having those from cuts[k] to cuts[k + 1]."""
+    group: list[int] = []
     size = 0
 
-    def flush() -> Iterator[tuple[int, np.ndarray]]:
-        if not pending:
-            return
-        joined = b"\n".join(t for _, t in pending)
-        starts, _, hashes = _hash_words(joined, separators)
-        at = np.cumsum([0, *(len(t) + 1 for _, t in pending)])
-        cuts = np.searchsorted(starts, at)
-        for k, (i, _) in enumerate(pending):
-            yield i, hashes[cuts[k] : cuts[k + 1]]
+    def hashed() -> tuple[list[int], np.ndarray, np.ndarray]:
+        starts, _, hashes = _hash_words(b"\n".join(texts[i] for i in group), separators)
+        return group, np.searchsorted(starts, np.cumsum([0, *(len(texts[i]) + 1 for i in group)])), hashes
 
     for i, t in enumerate(texts):
         if len(t) > PIECE:
-            yield from flush()
-            pending, size = [], 0
-            yield i, np.concatenate([_hash_words(p, separators)[2] for p in _pieces(t, separators)])
+            hashes = np.concatenate([_hash_words(p, separators)[2] for p in _pieces(t, separators)])
+            yield [i], np.array([0, len(hashes)]), hashes
             continue
-        if size + len(t) > PIECE:
-            yield from flush()
-            pending, size = [], 0
-        pending.append((i, t))
+        if group and size + len(t) > PIECE:
+            yield hashed()
+            group, size = [], 0
+        group.append(i)
         size += len(t) + 1
-    yield from flush()
+    if group:
+        yield hashed()
+
+
+def word_hashes(texts: list[bytes], separators: np.ndarray = SPACES) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, hashes of its words in order) for each text. Equal words have equal hashes in every process."""
+    for rows, cuts, hashes in _word_groups(texts, separators):
+        for k, i in enumerate(rows):
+            yield i, hashes[cuts[k] : cuts[k + 1]]
 
 
 def _pieces(text: bytes, separators: np.ndarray) -> Iterator[bytes]:
@@ -138,13 +139,28 @@ def _pieces(text: bytes, separators: np.ndarray) -> Iterator[bytes]:
         begin = end
 
 
-def shingles(words: np.ndarray, width: int) -> np.ndarray:
-    """Sorted distinct hashes of the word windows; of the whole sequence if it is shorter; none without words."""
-    if not len(words):
-        return words
-    k = min(width, len(words))
-    n = len(words) - k + 1
-    total = np.full(n, k, np.uint64)
-    for j in range(k):
-        total += mix(words[j : j + n] * _PLACES[j + 1])
-    return np.unique(mix(total))
+def _windows(words: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all windows of so many words."""
+    n = len(words) - width + 1
+    total = np.full(n, width, np.uint64)
+    for j in range(width):
+        total += words[j : j + n] * _PLACES[j + 1]
+    return mix(total)
+
+
+def gram_sets(texts: list[bytes], width: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, sorted distinct hashes of its word windows) for each text.
+
+    A shorter text is one window; a text without words has none.
+    """
+    for rows, cuts, hashes in _word_groups(texts, SPACES):
+        every = _windows(hashes, width) if len(hashes) >= width else hashes[:0]
+        for k, i in enumerate(rows):
+            lo, hi = cuts[k], cuts[k + 1]
+            if hi - lo >= width:
+                grams = np.sort(every[lo : hi - width + 1])
+                new = np.ones(len(grams), bool)
+                np.not_equal(grams[1:], grams[:-1], out=new[1:])
+                yield i, grams[new]
+            else:
+                yield i, _windows(hashes[lo:hi], int(hi - lo)) if hi > lo else hashes[:0]

@@ -25,15 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofmill.llm.common import mix, raw, shingles, small_batches, word_hashes
+from proofmill.llm.common import gram_sets, mix, raw, small_batches, text_or_empty
 from proofmill.session import partitions, stored
 
 WORDS = 5
 #: So many of the most frequent n-grams stand last in the order, by frequency. The choice is one of speed alone.
-FREQUENT = 65_536
-#: n-grams that one count, or one run of index entries, is made from.
-RUN = 1_500_000
-#: Bits of the largest filter of set ids, and bytes of its blocks.
+FREQUENT = 1 << 18
+#: n-grams that one count is made from, and entries of one run of the index.
+COUNTED, RUN = 4_000_000, 1_500_000
+#: Bits of the largest Bloom filter of set ids, and bytes of its blocks.
 FILTER, BLOCK = 1 << 25, 1 << 13
 #: Linked: 7 * intersection >= 3 * (size + size), which is 100 * intersection >= 75 * union.
 NUM, DEN = 3, 7
@@ -45,11 +45,29 @@ def _set_id(grams: np.ndarray) -> int:
 
 def _sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted n-gram hashes) for each text; letters A-Z count as lower case."""
-    for i, words in word_hashes([t.lower() for t in raw(column)]):
-        yield i, shingles(words, WORDS)
+    return gram_sets([t.lower() for t in raw(column)], WORDS)
 
 
-_PROFILE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_id", pa.int64()), ("gram", pa.int64()), ("times", pa.int64())])
+def _sketch(grams: np.ndarray) -> bytes:
+    """Parities of the n-grams dealt over about twice as many bits, a power of two.
+
+    Sets differ in as many n-grams at least as their sketches differ in bits: each n-gram changes one.
+    """
+    size = 1 << max(6, int(2 * len(grams) - 1).bit_length())
+    return np.packbits((np.bincount((grams & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(bool)).tobytes()
+
+
+def _may_link(n1: int, sketch1: bytes, n2: int, sketch2: bytes) -> bool:
+    """Whether the sketches differ in no more bits than linked sets may in n-grams; the larger one is folded first."""
+    x, y = np.frombuffer(sketch1, np.uint8), np.frombuffer(sketch2, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum()) * DEN <= n1 + n2
+
+
+_PROFILE = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int64()), ("set_id", pa.int64()), ("sketch", pa.binary()), ("gram", pa.int64()), ("times", pa.int64())])
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,18 +79,18 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, times = np.unique(np.concatenate([*run.values(), np.zeros(0, np.uint64)]), return_counts=True)
         grams, times = grams[times > 1], times[times > 1]
         none = pa.nulls(len(grams), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, pa.array(grams.view(np.int64)), pa.array(times.astype(np.int64))], schema=_PROFILE)
+        return pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(grams), pa.binary()), pa.array(grams.view(np.int64)), pa.array(times.astype(np.int64))], schema=_PROFILE)
 
     for batch in batches:
-        n, ids = [0] * batch.num_rows, [0] * batch.num_rows
-        for i, grams in _sets(batch.column(1)):
-            n[i], ids[i] = len(grams), _set_id(grams)
+        n, ids, sketches = [0] * batch.num_rows, [0] * batch.num_rows, [b""] * batch.num_rows
+        for i, grams in _sets(batch.column(2)):
+            n[i], ids[i], sketches[i] = len(grams), _set_id(grams), _sketch(grams)
             if len(grams) and ids[i] not in run:
                 run[ids[i]] = grams
                 held += len(grams)
         none = pa.nulls(batch.num_rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), none, none], schema=_PROFILE)
-        if held > RUN:
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(sketches, pa.binary()), none, none], schema=_PROFILE)
+        if held > COUNTED:
             yield counted()
             run.clear()
             held = 0
@@ -243,14 +261,6 @@ def _unconnected(key: tuple, lists: pa.Table, labels: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(a), pa.array(b)], schema=_PAIRS)
 
 
-def _bucket_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, set_id) for the sets in the lists."""
-    for batch in batches:
-        for bucket, sets in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ids = np.unique(np.frombuffer(sets, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), bucket, np.int32)), pa.array(ids)], names=["bucket", "set_id"])
-
-
 def _bits(ids: np.ndarray, size: int) -> np.ndarray:
     """The places of ids in a Bloom filter of so many bits, one row for each of its hashes."""
     return np.stack([mix(ids.view(np.uint64) + np.uint64(k)) % np.uint64(size) for k in range(1, 5)])
@@ -278,6 +288,35 @@ def _filter_union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array([*blocks], pa.int32()), pa.array([x.tobytes() for x in blocks.values()], pa.binary())], names=["block", "bits"])
 
 
+def _passes(ids: np.ndarray, packed: np.ndarray) -> np.ndarray:
+    """Which ids a filter, packed into bytes, lets pass."""
+    at = _bits(ids, 8 * len(packed))
+    return ((packed[at >> np.uint64(3)] >> (7 - (at & np.uint64(7)))) & np.uint64(1)).all(axis=0)
+
+
+def _filter(ids: DataFrame, least: int) -> np.ndarray:
+    """A Bloom filter of the ids in all columns, of ``least`` bits if that is not above FILTER, packed into bytes."""
+    size = 1 << 16
+    while size < min(FILTER, least):
+        size *= 2
+    schema = "block int, bits binary"
+    parts = ids.mapInArrow(partial(_filter_part, size=size), schema).repartition(partitions(ids.sparkSession), "block").mapInArrow(_filter_union, schema).toArrow()
+    blocks = np.zeros((size // 8 // BLOCK, BLOCK), np.uint8)
+    for block, bits in zip(parts.column("block").to_pylist(), parts.column("bits").to_pylist(), strict=True):
+        blocks[block] = np.frombuffer(bits, np.uint8)
+    return blocks.ravel()
+
+
+def _bucket_sets(batches: Iterator[pa.RecordBatch], linked: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(bucket, set_id) for the linked sets in lists of three at least; the first pass has compared the two of shorter ones."""
+    for batch in batches:
+        for bucket, gram, sets in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            _, where, count = np.unique(np.frombuffer(gram, np.uint32), return_inverse=True, return_counts=True)
+            ids = np.unique(np.frombuffer(sets, np.int64)[count[where] > 2])
+            ids = ids[_passes(ids, linked)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), bucket, np.int32)), pa.array(ids)], names=["bucket", "set_id"])
+
+
 def _gram_rows(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(set_id, n-grams) of the sets that the filter lets pass."""
     seen: set[int] = set()
@@ -285,8 +324,7 @@ def _gram_rows(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterato
         ids, grams = [], []
         for _, g in _sets(batch.column(0)):
             sid = _set_id(g)
-            at = _bits(np.array([sid], np.int64), 8 * len(wanted)).ravel()
-            if sid not in seen and ((wanted[at >> np.uint64(3)] >> (7 - (at & np.uint64(7)))) & np.uint64(1)).all():
+            if sid not in seen and _passes(np.array([sid], np.int64), wanted)[0]:
                 seen.add(sid)
                 ids.append(sid)
                 grams.append(g.tobytes())
@@ -305,22 +343,22 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(batch.columns[:2], schema=_PAIRS).filter(pa.array(linked, pa.bool_()))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        columns = [c.to_pylist() for c in batch.columns[2:]]
+        yield pa.RecordBatch.from_arrays(batch.columns[:2], schema=_PAIRS).filter(pa.array([_may_link(*row) for row in zip(*columns, strict=True)], pa.bool_()))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs that are linked, by exact comparison.
 
-    The n-grams of their sets are made again from the texts; a Bloom filter of FILTER bits at most keeps those of other
+    Sketches rule out pairs that cannot be. The n-grams of their sets are made again from the texts; a Bloom filter of FILTER bits at most keeps those of other
     sets from the shuffle, and the joins with the pairs drop what it lets pass by mistake.
     """
-    spark = texts.sparkSession
-    size, least = 1 << 16, 32 * pairs.count()
-    while size < min(FILTER, least):
-        size *= 2
-    schema = "block int, bits binary"
-    parts = pairs.mapInArrow(partial(_filter_part, size=size), schema).repartition(partitions(spark), "block").mapInArrow(_filter_union, schema).toArrow()
-    blocks = np.zeros((size // 8 // BLOCK, BLOCK), np.uint8)
-    for block, bits in zip(parts.column("block").to_pylist(), parts.column("bits").to_pylist(), strict=True):
-        blocks[block] = np.frombuffer(bits, np.uint8)
-    wanted = blocks.ravel()
+    side = lambda name: sets.select(F.col("set_id").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"sketch_{name}"))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b")
+    pairs = stored(near.mapInArrow(_sketched, "a long, b long"), "near-pairs")
+    wanted = _filter(pairs, 32 * pairs.count())
     grams = texts.select("text").mapInArrow(partial(_gram_rows, wanted=wanted), "set_id long, grams binary").dropDuplicates(["set_id"])
     grams = stored(grams, "grams")
     left = grams.select(F.col("set_id").alias("a"), F.col("grams").alias("grams_a"))
@@ -366,7 +404,7 @@ def _frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each input row: doc_id, n_shingles, component_id, set_id.
+    """One row for each input row: doc_id, n_shingles, component_id, set_id, and text_key, a hash of the text.
 
     component_id is the smallest doc_id that links of Jaccard similarity 0.75 or more reach, the row's own included;
     rows with equal sets are linked and share a set_id. Null and empty texts, and texts of white space, have no n-grams
@@ -375,9 +413,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    profile = stored(texts.mapInArrow(_profile, "doc_id long, n long, set_id long, gram long, times long"), "profile")
-    rows = profile.where("gram is null").select("doc_id", "n", "set_id")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("text_key"), F.col(text_col).cast("string").alias("text"))
+    profile = stored(texts.mapInArrow(_profile, "doc_id long, text_key long, n long, set_id long, sketch binary, gram long, times long"), "profile")
+    rows = profile.where("gram is null").select("doc_id", "text_key", "n", "set_id")
 
     frequent, rank = _frequent(stored(profile.where("gram is not null").groupBy("gram").agg(F.sum("times").alias("times")), "gram-counts"))
     columns = "bucket int, gram binary, set_id binary, n binary, pos binary, rare binary"
@@ -385,19 +423,22 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists = stored(entries.groupBy("bucket").applyInArrow(_lists, columns), "lists")
 
     pairs = stored(lists.mapInArrow(_stars, "a long, b long").distinct(), "stars")
-    held = lists.select("bucket", "set_id").mapInArrow(_bucket_sets, "bucket int, set_id long")
-    reps = stored(rows.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep")), "sets")
-    links = stored(_verified(pairs, texts), "links")
-    labels = components(links).select(F.col("node").alias("set_id"), "label")
+    sets = stored(profile.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sets")
+    reps = sets.select("set_id", "rep")
+    links = stored(_verified(pairs, sets, texts), "links")
+    labels = stored(components(links).select(F.col("node").alias("set_id"), "label"), "labels")
+    linked = _filter(labels.select("set_id"), 16 * labels.count())
+    held = lists.select("bucket", "gram", "set_id").mapInArrow(partial(_bucket_sets, linked=linked), "bucket int, set_id long")
     known = held.join(labels, "set_id").select("bucket", "set_id", "label")
     more = lists.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_unconnected, "a long, b long").distinct()
-    more = stored(_verified(stored(more, "unconnected"), texts), "more-links")
+    more = stored(_verified(more, sets, texts), "more-links")
     labels = components(links.union(more)).select(F.col("node").alias("set_id"), "label")
 
     smallest = labels.join(reps, "set_id").groupBy("label").agg(F.min("rep").alias("component_id"))
     found = reps.join(labels, "set_id", "left").join(smallest, "label", "left").select("set_id", F.coalesce("component_id", "rep").alias("component_id"))
-    empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("set_id"))
-    return rows.where("n > 0").join(found, "set_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "set_id").union(empty)
+    columns = ["doc_id", "n_shingles", "component_id", "set_id", "text_key"]
+    empty = rows.where("n = 0").select("*", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")).withColumn("set_id", F.lit(None).cast("long")).select(columns)
+    return rows.where("n > 0").join(found, "set_id").withColumnRenamed("n", "n_shingles").select(columns).union(empty)
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -406,7 +447,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     Of rows that repeat both id and text one stays. Rows without words are linked with nothing and stay; so do rows
     with a null id whose component has no other id.
     """
-    kept = jaccard_classes(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    return rows.withColumn("_text_key", key).dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")
+    kept = jaccard_classes(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"), F.col("text_key").alias("_kept_key")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text_or_empty()).alias("_key"), F.struct("*").alias("_doc"))
+    same = F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_key") == F.col("_kept_key"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["_id", "_key"]).select("_doc.*")
