@@ -100,11 +100,12 @@ def emit_mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
 
     Rows that repeat a doc_id share that id's copies evenly: the counts are summed per id and dealt to its rows.
     """
-    taken = mix_sources(docs, seed).groupBy(F.col("doc_id").alias("_taken_id")).agg(F.sum("copies").alias("_sum"), F.count("*").alias("_rows"))
-    joined = docs.join(taken, docs["doc_id"].cast("long").eqNullSafe(F.col("_taken_id")))
-    nth = F.row_number().over(Window.partitionBy("_taken_id").orderBy(F.xxhash64(docs["doc_id"], docs["text"]))) if "text" in docs.columns else F.lit(1)
-    share = F.floor(F.col("_sum") / F.col("_rows")) + F.when(nth <= F.col("_sum") % F.col("_rows"), 1).otherwise(0)
-    return joined.withColumn("_times", share.cast("int")).where(F.col("_times") > 0).withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+    taken = mix_sources(docs, seed).groupBy(F.col("doc_id").alias("_taken")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_order"), F.struct("*").alias("_doc"))
+    joined = rows.join(taken, F.col("_id").eqNullSafe(F.col("_taken")))
+    nth = F.row_number().over(Window.partitionBy("_taken").orderBy("_order"))
+    times = F.floor(F.col("_copies") / F.col("_rows")) + F.when(nth <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)
+    return joined.select("_doc", times.cast("int").alias("_times")).where(F.col("_times") > 0).select("_doc", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_doc.*")
 
 
 ORACLE = rf"""

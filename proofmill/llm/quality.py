@@ -238,7 +238,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("_text")).join(sample, F.col("_doc") == F.col("_id"))
     got = rows.select("_doc", "_label", "_text").mapInArrow(partial(_pooled, vectors=vectors), "doc_id long, label int, pooled binary").toArrow()
     ids, good = got.column("doc_id").to_numpy(), got.column("label").to_numpy()
-    x = np.array([np.frombuffer(p, np.float32) for p in got.column("pooled").to_pylist()], np.float64).reshape(len(ids), -1)
+    x = np.array([np.frombuffer(p, np.float32) for p in got.column("pooled").to_pylist()], np.float64).reshape(len(ids), SIZE + SHAPES + 1)
     order = np.lexsort((ids, mix(ids.astype(np.uint64))))
     return fit(x[order], good[order], vectors)
 
