@@ -172,3 +172,59 @@ def render_template(template: pd.Series, variables: pd.Series) -> pd.Series:
         return re.sub(r"\{\{(\w+)\}\}", lambda m: str(values[m[1]]), t)
 
     return pd.Series([one(t, v) for t, v in zip(template, variables, strict=True)])
+
+
+def extracted_memories(value: Column) -> Column:
+    """An array of (text, entry) from JSON text that holds one memory or a list, each a string or an object with text.
+
+    Entries keep their JSON. Null where an entry is neither or its text is blank or no string.
+    """
+    v = F.try_parse_json(value)
+    several = F.schema_of_variant(v).startswith("ARRAY")
+    entries = F.when(several, F.try_variant_get(v, "$", "array<variant>")).otherwise(F.array(v))
+
+    def one(e: Column) -> Column:
+        kind = F.schema_of_variant(e)
+        text = F.when(kind == "STRING", F.try_variant_get(e, "$", "string")).when(kind.startswith("OBJECT") & (F.schema_of_variant(F.try_variant_get(e, "$.text", "variant")) == "STRING"), F.try_variant_get(e, "$.text", "string"))
+        return F.struct(text.alias("text"), F.to_json(e).alias("entry"))
+
+    found = F.transform(entries, one)
+    return F.when(v.isNotNull() & F.forall(found, lambda e: F.coalesce(F.trim(e["text"]) != "", F.lit(False))), found)
+
+
+def is_joined(names: list[str], joined: str, limit: int = 100_000) -> bool:
+    """Whether a text is the names, in any order, joined by a comma and a blank; names may hold that too.
+
+    States are what is left of the names after so many characters; more than ``limit`` of them count as no match.
+    """
+    separator = ", "
+    start = tuple(sorted(names))
+    if not start:
+        return joined == ""
+    frontier, seen = [(0, start)], {(0, start)}
+    while frontier:
+        at, left = frontier.pop()
+        for i, name in enumerate(left):
+            if i and left[i - 1] == name:
+                continue
+            rest = left[:i] + left[i + 1 :]
+            whole = name if not rest else name + separator
+            if not joined.startswith(whole, at):
+                continue
+            if not rest:
+                if at + len(whole) == len(joined):
+                    return True
+                continue
+            state = (at + len(whole), rest)
+            if state not in seen:
+                if len(seen) >= limit:
+                    return False
+                seen.add(state)
+                frontier.append(state)
+    return False
+
+
+@F.pandas_udf(T.BooleanType())
+def names_match(names: pd.Series, joined: pd.Series) -> pd.Series:
+    """``is_joined`` by row; null where either is null."""
+    return pd.Series([None if n is None or j is None else is_joined(list(n), j) for n, j in zip(names, joined, strict=True)], dtype="boolean")

@@ -58,3 +58,15 @@ def historical_summary(records: DataFrame, by: list[str], score: str, threshold:
 def rubric_score(raw: Column) -> Column:
     """A rubric item's score: 1 from 0.75, 0.5 from 0.25, else 0."""
     return F.when(raw >= 0.75, 1.0).when(raw >= 0.25, 0.5).otherwise(0.0)
+
+
+def interval_union(spans: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
+    """The time that a group's intervals cover together, and in how many unbroken stretches."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*by).orderBy(start, end)
+    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(reach.isNull() | (F.col(start) > reach), 1).otherwise(0)
+    numbered = spans.where(F.col(start) <= F.col(end)).withColumn("_new", new).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = numbered.groupBy(*by, "_island").agg(F.min(start).alias("_a"), F.max(end).alias("_b"))
+    return islands.groupBy(*by).agg(F.sum(F.col("_b") - F.col("_a")).alias("covered"), F.count("*").alias("stretches"))

@@ -235,3 +235,13 @@ def axis_projection(spark: SparkSession, d: str) -> DataFrame:
     for part in parts[1:]:
         every = every.unionByName(part)
     return every.groupBy("axis", "key").agg(F.count("*").alias("records"), F.sum("cents").alias("cents"))
+
+
+@query("""
+WITH s AS (SELECT l_orderkey AS ctx, l_partkey AS a, l_partkey + l_quantity::BIGINT AS b FROM lineitem), m AS (SELECT *, max(b) OVER (PARTITION BY ctx ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
+i AS (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach THEN 1 ELSE 0 END) OVER (PARTITION BY ctx ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM m), g AS (SELECT ctx, island, min(a) AS a, max(b) AS b FROM i GROUP BY ALL)
+SELECT ctx, sum(b - a)::BIGINT AS covered, count(*) AS stretches FROM g GROUP BY ctx""")
+def interval_union(spark: SparkSession, d: str) -> DataFrame:
+    """What intervals cover together."""
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("ctx"), F.col("l_partkey").alias("a"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("b"))
+    return durations.interval_union(rows, ["ctx"], "a", "b")

@@ -161,3 +161,28 @@ def usage_normalisation(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").withColumn("u", u)
     cached = F.coalesce("u.prompt_tokens_details.cached_tokens", "u.prompt_cache_hit_tokens")
     return rows.select("l_orderkey", "l_partkey", "l_linenumber", F.col("u.prompt_tokens").alias("input_tokens"), cached.cast("double").alias("cached_tokens"), F.array_join(F.array_compact(F.array(F.when(cached.isNull(), "cached"))), ",").alias("unavailable"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN NULL WHEN turn % 4 = 2 THEN role || ',' || conv_id ELSE role END AS memories FROM conversations")
+def extracted_memories(spark: SparkSession, d: str) -> DataFrame:
+    """Memories as text, object or list; blank ones void the whole."""
+    k, quoted = F.col("turn") % 4, F.concat(F.lit('"'), F.col("role"), F.lit('"'))
+    written = F.when(k == 0, quoted).when(k == 1, F.concat(F.lit('{"score": 1, "text": '), quoted, F.lit("}"))).when(k == 2, F.concat(F.lit("["), quoted, F.lit(', {"text": "'), F.col("conv_id").cast("string"), F.lit('"}]'))).otherwise(F.concat(F.lit("["), quoted, F.lit(', {"text": " "}]')))
+    found = text.extracted_memories(written)
+    return table(spark, d, "conversations").select("conv_id", "turn", F.when(found.isNotNull(), F.array_join(F.transform(found, lambda m: m["text"]), ",")).alias("memories"))
+
+
+@query("SELECT o_orderkey, o_orderkey % 3 <> 0 AS matches FROM orders")
+def entity_match(spark: SparkSession, d: str) -> DataFrame:
+    """Names in any order against their ambiguous join; every third has one name too many."""
+    names = F.array(F.lit("Rome, Italy"), F.col("o_orderstatus"), F.lit("Rome"), F.col("o_orderpriority"))
+    joined = F.concat_ws(", ", F.lit("Rome"), F.col("o_orderpriority"), F.lit("Rome, Italy"), F.col("o_orderstatus"), F.when(F.col("o_orderkey") % 3 == 0, "x"))
+    return table(spark, d, "orders").select("o_orderkey", text.names_match(names, joined).alias("matches"))
+
+
+@query("SELECT event_id, event_type IN ('click', 'view') AS listed FROM events WHERE event_type IN ('click', 'view') OR event_id % 10 = 0")
+def hit_inventory(spark: SparkSession, d: str) -> DataFrame:
+    """hits inside an inventory, unique and with finite scores; others are violations."""
+    inventory = spark.createDataFrame([("click",), ("view",)], "kind string")
+    rows = table(spark, d, "events").join(F.broadcast(inventory), F.col("event_type") == F.col("kind"), "left")
+    return rows.where(F.col("kind").isNotNull() | (F.col("event_id") % 10 == 0)).where(~F.isnan("value")).select("event_id", F.col("kind").isNotNull().alias("listed"))

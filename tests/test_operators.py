@@ -251,3 +251,14 @@ def test_facets_and_sets(spark):
     assert {(r.facet, r.value, r["count"]) for r in selecting.facet_values(df, ["f", "g"]).collect()} == {("f", "a", 2), ("f", "b", 1), ("g", "x", 1), ("g", "y", 1)}
     row = one(selecting.set_closure(df, df.where("k > 1"), "k"))
     assert (row.only_left, row.only_right, row.in_both, row.equal) == (1, 0, 2, False)
+
+
+def test_ambiguous_name_joins():
+    assert text.is_joined(["a", "a, b", "b"], "a, b, b, a") and text.is_joined([], "") and text.is_joined(["x", "x"], "x, x")
+    assert not text.is_joined(["x", "x"], "x") and not text.is_joined(["a"], "a, ") and not text.is_joined([], "a")
+
+
+def test_memories(spark):
+    rows = [('"a"',), ('{"text": "b", "k": 1}',), ('["a", {"text": "c"}]',), ('["a", {"text": " "}]',), ('[1]',), ('{"text": 3}',), ("7",), ("{",), (None,), ("[]",)]
+    got = [r[0] if r[0] is None else [m.text for m in r[0]] for r in spark.createDataFrame(rows, "t string").coalesce(1).select(text.extracted_memories(F.col("t"))).collect()]
+    assert got == [["a"], ["b"], ["a", "c"], None, None, None, None, None, None, []]

@@ -113,3 +113,17 @@ def test_streams(spark, sf_dir, tmp_path):
     w.awaitTermination(120)
     total = spark.sql("SELECT sum(count) AS n FROM latency").collect()[0].n
     assert total == spark.read.parquet(f"{sf_dir}/events.parquet").count()
+
+
+def test_config_and_checksums(tmp_path):
+    from proofmill.sources import config
+
+    (tmp_path / "a.json").write_text('{"a": {"b": 1}}')
+    assert config.load_config(tmp_path / "a.json") == {"a": {"b": 1}}
+    (tmp_path / "b.json").write_text('{"a": 1, "a": 2}')
+    with pytest.raises(ValueError, match="repeated"):
+        config.load_config(tmp_path / "b.json")
+    sums = config.checksum_list(f"{hashlib.sha256((tmp_path / 'a.json').read_bytes()).hexdigest()}  a.json\n{'0' * 64} *gone\n")
+    assert config.verify_files(tmp_path, sums) == ["gone"]
+    with pytest.raises(ValueError, match="checksum line"):
+        config.checksum_list("xyz a")
