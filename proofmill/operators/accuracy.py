@@ -64,7 +64,7 @@ def arm_pairs(arms: DataFrame, ordinal: str) -> DataFrame:
     """All unordered pairs of arms, left before right: ``arms`` has one row per arm, a handful."""
     a = arms.select(*[F.col(c).alias(f"left_{c}") for c in arms.columns])
     b = arms.select(*[F.col(c).alias(f"right_{c}") for c in arms.columns])
-    return a.join(b, F.col(f"left_{ordinal}") < F.col(f"right_{ordinal}"))
+    return a.join(F.broadcast(b), F.col(f"left_{ordinal}") < F.col(f"right_{ordinal}"))
 
 
 def limitations(checks: dict[str, Column]) -> Column:
