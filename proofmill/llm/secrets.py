@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +46,8 @@ RULES = BASE + MORE
 
 #: Character classes and repeats of up to so many choices are written out; an alternative has up to so many in all.
 CHOICES, ALTERNATIVES = 6, 64
+#: Trigrams that one long has bits for.
+BITS = 48
 #: Letters by frequency, the rarest last: of a query's trigrams the one of rare letters is looked for first.
 FREQUENCY = "etaoinsrhldcumfpgwybvkxjqz"
 
@@ -108,8 +111,17 @@ def trigram_index(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str
     vocabulary = sorted({t for _, q in _queries(rules) for t in q})
     text = text_or_empty(text_col)
     rows = docs.select(_row_key(id_col, text).alias("row_key"), F.lower(text).alias("_lower"))
-    present = F.array_compact(F.array(*[F.when(F.contains("_lower", F.lit(t)), F.lit(t)) for t in vocabulary]))
-    return rows.select("row_key", present.alias("_present")).select(F.explode("_present").alias("trigram"), "row_key")
+    # which trigrams a text has, as bits of as many longs as it takes: plain expressions that compile to one loop
+    words = [vocabulary[i : i + BITS] for i in range(0, len(vocabulary), BITS)]
+    bit = lambda i: F.lit(1 << i).cast("long")
+    masks = [reduce(Column.__add__, [F.when(F.contains("_lower", F.lit(t)), bit(i)).otherwise(F.lit(0).cast("long")) for i, t in enumerate(word)]).alias(f"_mask{k}") for k, word in enumerate(words)]
+    rows = rows.select("row_key", *masks)
+    entries = [F.struct(F.lit(t).alias("t"), F.lit(k).alias("k"), bit(i).alias("bit")) for k, word in enumerate(words) for i, t in enumerate(word)]
+    if not entries:
+        return rows.select(F.lit("").alias("trigram"), "row_key").limit(0)
+    mask = F.array(*[f"_mask{k}" for k in range(len(words))])
+    present = F.filter(F.array(*entries), lambda e: F.element_at(mask, e["k"] + 1).bitwiseAND(e["bit"]) != 0)
+    return rows.select(F.explode(present).alias("_e"), "row_key").select(F.col("_e.t").alias("trigram"), "row_key")
 
 
 def candidates(postings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
