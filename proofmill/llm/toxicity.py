@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from proofmill.llm.common import NON_LETTERS, fold, raw, small_batches, word_hashes
 
 #: The largest number of labelled rows, toxic and other, that a fit sees.
-SAMPLE = (4_000, 8_000)
+SAMPLE = (3_000, 6_000)
 #: Words of the classifier, and the number of sampled texts that must have a word.
 WORDS, LEAST_TEXTS = 2_048, 3
 #: The chi-square of a word against the label from which it counts as a word of the classifier.
@@ -102,7 +102,7 @@ def fit(texts: list[np.ndarray], toxic: np.ndarray) -> Model:
                     times.append(1.0 + count[i])
     first, second, times = np.array(first), np.array(second), np.array(times)
 
-    balance = np.where(toxic > 0, 0.5 / rate, 0.5 / (1 - rate)) ** 0.75
+    balance = np.where(toxic > 0, 0.5 / rate, 0.5 / (1 - rate))
     balance /= balance.mean()
     w, b, n = np.zeros(len(words)), float(np.log(rate / (1 - rate))), len(texts)
     moment, second_moment = np.zeros(len(words) + 1), np.zeros(len(words) + 1)
