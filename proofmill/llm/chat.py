@@ -16,7 +16,7 @@ from proofmill.session import stored
 
 QUOTE = r"^(?:[ \t]*>)+"
 #: A line that only announces a quotation.
-ATTRIBUTION = r"(?i)^\s*on .{1,200} wrote:\s*$"
+ATTRIBUTION = r"(?i)^[ \x09-\x0D]*on .{1,200} wrote:[ \x09-\x0D]*$"
 #: Normalised sentences below this length are too common to tell where they come from.
 LEAST_CHARS = 8
 
@@ -44,12 +44,12 @@ def body(found: Column) -> Column:
     """What a message itself says: its unquoted runs without lines that announce quotations."""
     own = F.array_join(F.transform(F.filter(found, lambda p: p["level"] == 0), lambda p: p["text"]), "\n")
     kept = F.array_join(F.filter(F.split(own, "\n", -1), lambda line: ~line.rlike(ATTRIBUTION)), "\n")
-    return F.regexp_replace(F.regexp_replace(kept, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    return F.regexp_replace(F.regexp_replace(kept, r"\n{3,}", "\n\n"), r"^[ \x09-\x0D]+|[ \x09-\x0D]+$", "")
 
 
 def sentences(text: Column) -> Column:
     """Hashes of a text's normalised sentences."""
-    plain = F.transform(F.split(F.regexp_replace(text, r"\s+", " "), r"(?<=[.!?])\s", -1), lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " ")))
+    plain = F.transform(F.split(F.regexp_replace(text, r"[ \x09-\x0D]+", " "), r"(?<=[.!?]) ", -1), lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " ")))
     return F.transform(F.filter(plain, lambda s: F.length(s) >= LEAST_CHARS), lambda s: F.xxhash64(s))
 
 
@@ -108,3 +108,32 @@ def format_chat(conversations: DataFrame) -> DataFrame:
         "conv_id", "turn", "role", body(F.col("_passages")).alias("content"), F.coalesce(F.array_max(F.transform("_passages", lambda p: p["level"])), F.lit(0)).cast("int").alias("quote_depth"),
         "parent_turn", F.element_at(path, 1).alias("root_turn"), path.alias("path"),
     )
+
+
+def chat_rows(conversations: DataFrame) -> DataFrame:
+    """``format_chat`` with plain columns: the path as text, and -1 for no parent."""
+    return format_chat(conversations).select(
+        "conv_id", "turn", "role", "content", "quote_depth", F.coalesce("parent_turn", F.lit(-1).cast("long")).alias("parent_turn"), "root_turn",
+        F.array_join(F.transform("path", lambda t: t.cast("string")), "/").alias("path"),
+    )
+
+
+ORACLE = rf"""
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS r, conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+l AS (SELECT r, conv_id, turn, generate_subscripts(regexp_split_to_array(text, '\r?\n'), 1) AS pos, unnest(regexp_split_to_array(text, '\r?\n')) AS line FROM m),
+v AS (SELECT r, conv_id, turn, pos, length(regexp_replace(regexp_extract(line, '{QUOTE}'), '[^>]', '', 'g')) AS level, regexp_replace(line, '{QUOTE} ?', '') AS body FROM l),
+i AS (SELECT *, pos - row_number() OVER (PARTITION BY r, level ORDER BY pos) AS run FROM v),
+p AS (SELECT r, conv_id, turn, level, min(pos) AS pos, string_agg(body, chr(10) ORDER BY pos) AS body FROM i GROUP BY r, conv_id, turn, level, run),
+o AS (SELECT r, conv_id, turn, regexp_replace(regexp_replace(coalesce(string_agg(body, chr(10) ORDER BY pos) FILTER (level = 0 AND NOT regexp_matches(body, '{ATTRIBUTION}')), ''), '\n{{3,}}', chr(10) || chr(10), 'g'), '^[ \x09-\x0D]+|[ \x09-\x0D]+$', '', 'g') AS body, max(level) AS depth FROM v GROUP BY r, conv_id, turn),
+q AS (SELECT conv_id, turn, level, body FROM p WHERE level > 0),
+s AS (SELECT conv_id, turn, level, trim(regexp_replace(lower(unnest(string_split(regexp_replace(regexp_replace(body, '[ \x09-\x0D]+', ' ', 'g'), '([.!?]) ', '\1' || chr(1), 'g'), chr(1)))), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS t
+      FROM (SELECT conv_id, turn, level, body FROM q UNION ALL SELECT conv_id, turn, 0, body FROM o)),
+k AS (SELECT * FROM s WHERE length(t) >= {LEAST_CHARS}),
+c AS (SELECT a.conv_id, a.turn, a.level, max(b.turn) AS parent FROM (SELECT row_number() OVER () AS n, * FROM k WHERE level > 0) a JOIN (SELECT DISTINCT conv_id, turn, t FROM k WHERE level = 0) b ON a.conv_id = b.conv_id AND a.t = b.t AND b.turn < a.turn GROUP BY a.n, a.conv_id, a.turn, a.level),
+w AS (SELECT conv_id, turn, level, parent, count(*) AS n FROM c GROUP BY ALL),
+b AS (SELECT conv_id, turn, parent FROM w QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, n DESC, parent DESC) = 1),
+h AS (SELECT conv_id, turn, parent AS up, parent || '/' || turn AS path FROM b UNION ALL SELECT h.conv_id, h.turn, b.parent, b.parent || '/' || h.path FROM h JOIN b ON h.conv_id = b.conv_id AND h.up = b.turn),
+f AS (SELECT conv_id, turn, arg_min(path, up) AS path FROM h GROUP BY conv_id, turn)
+SELECT m.conv_id, m.turn, m.role, o.body AS content, o.depth::INT AS quote_depth, coalesce(b.parent, -1)::BIGINT AS parent_turn, CASE WHEN f.path IS NULL THEN m.turn ELSE split_part(f.path, '/', 1)::BIGINT END AS root_turn, coalesce(f.path, m.turn::VARCHAR) AS path
+FROM m JOIN o ON m.r = o.r LEFT JOIN b ON m.conv_id = b.conv_id AND m.turn = b.turn LEFT JOIN f ON m.conv_id = f.conv_id AND m.turn = f.turn
+"""

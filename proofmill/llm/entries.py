@@ -21,7 +21,7 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_chat(table(spark, sf_dir, "conversations"))
+    return chat.chat_rows(table(spark, sf_dir, "conversations"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_secret_scan": secrets.ORACLE,
+        "op3_chat_formatting": chat.ORACLE,
         "op4_decontamination": decontaminate.ORACLE,
         "op9_mixing": mixing.ORACLE,
         "op10_exact_dedup": exactdedup.ORACLE,

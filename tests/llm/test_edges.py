@@ -80,6 +80,34 @@ def test_chat(spark):
     assert chat.format_chat(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_chat_equals_its_sql(spark):
+    """The tables hold no quotations, so the SQL is held against the operator on messages that do."""
+    import duckdb
+
+    rng = np.random.Generator(np.random.PCG64(8))
+    rows = []
+    for conv in range(30):
+        said = []
+        for turn in range(int(rng.integers(2, 9))):
+            lines = []
+            for _ in range(int(rng.integers(0, 4))):
+                if said:
+                    source = said[int(rng.integers(0, len(said)))]
+                    lines += [("> " if rng.random() < 0.7 else ">>") + x for x in source.split("\n") if rng.random() < 0.8]
+                lines.append(f"Sentence {int(rng.integers(0, 25))} of something. And More words {int(rng.integers(0, 9))}!")
+            text = "\n".join(lines)
+            said.append(text)
+            rows.append((conv, turn, "user", text))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    want = con.execute(chat.ORACLE)
+    columns = [d[0] for d in want.description]
+    got = chat.chat_rows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).select(columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+    assert got.where("parent_turn >= 0").count() > 20
+
+
 ITEM = "Anna Smith drove 120 km from the northern harbour to the southern market in 3 hours before breakfast"
 
 
