@@ -32,7 +32,7 @@ WORDS = 5
 #: So many of the most frequent n-grams stand last in the order, by frequency. The choice is one of speed alone.
 FREQUENT = 1 << 18
 #: n-grams that one count is made from, and entries of one run of the index.
-COUNTED, RUN = 4_000_000, 1_500_000
+COUNTED, RUN = 2_500_000, 1_200_000
 #: Bits of the largest Bloom filter of set ids, and bytes of its blocks.
 FILTER, BLOCK = 1 << 25, 1 << 13
 #: Linked: 7 * intersection >= 3 * (size + size), which is 100 * intersection >= 75 * union.
