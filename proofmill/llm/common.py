@@ -84,6 +84,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of spans of bytes; equal spans have equal hashes in every process."""
+    up, down = _power_tables(len(buf) + 1)
+    sums = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(_BYTE[buf] * up[: len(buf)], out=sums[1:])
+    hashes = (sums[ends] - sums[starts]) * down[starts]
+    return mix(hashes + (ends - starts).astype(np.uint64) * _PLACES[0])
+
+
 def _hash_words(data: bytes, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and hashes of the words of one piece."""
     buf = np.frombuffer(data, np.uint8)
@@ -91,11 +100,7 @@ def _hash_words(data: bytes, separators: np.ndarray) -> tuple[np.ndarray, np.nda
     inside[1:-1] = ~separators[buf]
     step = np.diff(inside)
     starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-    up, down = _power_tables(len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE[buf] * up[: len(buf)], out=sums[1:])
-    hashes = (sums[ends] - sums[starts]) * down[starts]
-    return starts, ends, mix(hashes + (ends - starts).astype(np.uint64) * _PLACES[0])
+    return starts, ends, hash_spans(buf, starts, ends)
 
 
 def _word_groups(texts: list[bytes], separators: np.ndarray) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:

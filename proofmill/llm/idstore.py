@@ -25,8 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofmill.llm.common import raw, small_batches
-from proofmill.session import partitions, shared_path
+from proofmill.llm.common import PIECE, hash_spans, raw, small_batches
+from proofmill.session import partitions, shared_path, stored
 
 END_ID = 1
 #: Bytes of an id in a chunk: the vocabulary has under 65,536 ids.
@@ -41,10 +41,17 @@ SENT = 500_000
 _GEAR = np.random.Generator(np.random.PCG64(7)).integers(0, 2**32, 1 << 16, dtype=np.uint32)
 _ODD = np.array([pow(0x01000193, j, 2**32) for j in range(WINDOW)], np.uint32)
 _tokenizers: dict[str, object] = {}
+_plain: dict[str, object] = {}
 _word_ends: dict[str, np.ndarray] = {}
-#: Ids of the words of late, and those of the words before.
-_young: dict[str, bytes] = {}
-_old: dict[str, bytes] = {}
+#: Ids of the words of late and of those before, by the words' hashes.
+_young: dict[int, bytes] = {}
+_old: dict[int, bytes] = {}
+#: Bytes of ASCII and of accented Latin-1 letters, and the class of each byte: 0 blank, 1 letter, 2 digit, 3 other mark.
+_LATIN_BYTES = bytes([*range(128), 0xC3, *range(0x80, 0xC0)])
+_KIND = np.full(256, 3, np.uint8)
+_KIND[[*range(97, 123), 0xC3, *range(0x80, 0xC0)]] = 1
+_KIND[48:58] = 2
+_KIND[[32, *range(9, 14)]] = 0
 _LETTERS, _NUMBERS, _BLANKS = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 #: Fixed value: the tokenizer's own splitting pattern, with its character classes written out for Latin-1.
 LATIN_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_BLANKS}{_LETTERS}{_NUMBERS}]+")
@@ -53,12 +60,16 @@ LATIN_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{
 def _tokenizer(path: str):
     if path not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         _tokenizers[path] = tokenizer = Tokenizer.from_file(path)
         ends = np.zeros(1 << (8 * WIDTH), bool)
         ends[[i for piece, i in tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
         _word_ends[path] = ends
+        # for words that are split and lower-cased already: the same merges without normalising and splitting again
+        _plain[path] = Tokenizer.from_file(path)
+        _plain[path].normalizer = None
+        _plain[path].pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     return _tokenizers[path]
 
 
@@ -66,56 +77,125 @@ def _pack(ids: list[int]) -> bytes:
     return np.array(ids, f"<u{WIDTH}").tobytes()
 
 
-def _learn(words: list[str], path: str) -> None:
-    """Put the ids of these words into the younger memory; each goes to the library once."""
-    missing = []
-    for w in words:
-        if (ids := _old.get(w)) is None:
-            missing.append(w)
-        else:
-            _young[w] = ids
+def _library(words: list[str], path: str) -> list[bytes]:
+    """The ids of words; each is one that LATIN_WORD finds in lower case."""
     tokenizer, ends = _tokenizer(path), _word_ends[path]
-    plain = [w for w in missing if w.isalpha()]
-    for k in range(0, len(plain), 10_000):
+    plain = [w for w in words if w.isalpha()]
+    found: dict[str, bytes] = {}
+    groups = [plain[k : k + 500] for k in range(0, len(plain), 500)]
+    for some, encoded in zip(groups, _plain[path].encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
         # a run of letters is one word to the library, which ends in one piece with a word end
-        some = plain[k : k + 10_000]
-        ids = np.array(tokenizer.encode(" ".join(some), add_special_tokens=False).ids, f"<u{WIDTH}")
+        ids = np.array(encoded.ids, f"<u{WIDTH}")
         cuts = [0, *((np.flatnonzero(ends[ids]) + 1) * WIDTH).tolist()]
         if len(cuts) != len(some) + 1:
             raise ValueError("the tokenizer's words are not runs of letters")
         data = ids.tobytes()
-        _young.update((w, data[a:b]) for w, a, b in zip(some, cuts, cuts[1:], strict=False))
-    other = [w for w in missing if not w.isalpha()]
-    for w, e in zip(other, tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
-        _young[w] = _pack(e.ids)
+        found.update((w, data[a:b]) for w, a, b in zip(some, cuts, cuts[1:], strict=False))
+    other = [w for w in words if not w.isalpha()]
+    found.update((w, _pack(e.ids)) for w, e in zip(other, tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True))
+    return [found[w] for w in words]
+
+
+def _plain_text(text: bytes) -> bytes | None:
+    """The text in lower case if it is one in which words are runs of bytes of a class; else null.
+
+    That is a text of ASCII and accented Latin-1 letters, without apostrophes, which begin contractions, and without
+    what a special token begins with.
+    """
+    if b"'" in text or b"<|" in text:
+        return None
+    if text.isascii():
+        return text.lower()
+    if text.translate(None, _LATIN_BYTES) or b"\xc3\x97" in text or b"\xc3\xb7" in text:
+        return None
+    try:
+        return text.decode("utf-8").lower().encode("utf-8")
+    except UnicodeDecodeError:
+        return None
+
+
+def _encode_plain(texts: list[bytes], path: str) -> list[bytes]:
+    """Ids of texts that ``_plain_text`` gave. Words are hashed together, and each distinct one is looked up once."""
+    data = b"\n".join(texts)
+    buf = np.frombuffer(data, np.uint8)
+    kind = np.zeros(len(buf) + 2, np.uint8)
+    kind[1:-1] = _KIND[buf]
+    change = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    edge = (kind[1:] != kind[:-1]) | (kind[:-1] == 2)
+    starts = np.flatnonzero(change[:-1] & (kind[1:-1] != 0))
+    ends = np.flatnonzero(edge[1:] & (kind[1:-1] != 0)) + 1
+    hashes, first, which = np.unique(hash_spans(buf, starts, ends), return_index=True, return_inverse=True)
+    pieces = list(map(_young.get, keys := hashes.tolist()))
+    missing = [i for i, p in enumerate(pieces) if p is None]
+    new = []
+    for i in missing:
+        if (p := _old.get(keys[i])) is None:
+            new.append(i)
+        else:
+            pieces[i] = p
+    for i, p in zip(new, _library([data[starts[k] : ends[k]].decode() for k in first[new].tolist()], path), strict=True):
+        pieces[i] = p
+    _young.update((keys[i], pieces[i]) for i in missing)
+    pool = np.frombuffer(b"".join(pieces), f"<u{WIDTH}")
+    size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // WIDTH
+    begin = np.cumsum(size) - size
+    lengths = size[which]
+    after = np.concatenate([[0], np.cumsum(lengths)])
+    ids = pool[np.repeat(begin[which] - after[:-1], lengths) + np.arange(after[-1])]
+    cuts = after[np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))]
+    return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def encode_texts(texts: list[bytes], path: str) -> list[bytes]:
     """Each text's ids, WIDTH bytes each, with END_ID appended.
 
     The tokenizer lower-cases, and splits a text into words by a pattern before any merge, so a text's ids are those of
-    its words in order. For texts of Latin-1 characters LATIN_WORD finds the same words. Other texts, and those that
-    may hold a special token, go to the library whole.
+    its words in order. For texts of Latin-1 characters the same words are found here, by ``_encode_plain`` where bytes
+    tell them and else by LATIN_WORD. Other texts, and those that may hold a special token, go to the library whole.
     """
     global _young, _old
     if len(_young) > REMEMBERED:
         _young, _old = {}, _young
-    split: list[list[str] | bytes] = []
-    for t in texts:
-        if b"<|" not in t:
-            try:
-                text = t.decode("utf-8")
-                text.encode("latin-1")
-                split.append(LATIN_WORD.findall(text.lower()))
-                continue
-            except UnicodeError:
-                pass
-        split.append(_pack(_tokenizer(path).encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids))
-    words_now = set().union(*(words for words in split if isinstance(words, list)))
-    _learn([w for w in words_now if w not in _young], path)
+    out: list[bytes] = [b""] * len(texts)
+    group: list[int] = []
+    lower: list[bytes] = []
+    held = 0
+
+    def flush() -> None:
+        for k, ids in zip(group, _encode_plain(lower, path), strict=True):
+            out[k] = ids
+        group.clear()
+        lower.clear()
+
+    for i, t in enumerate(texts):
+        plain = _plain_text(t)
+        if plain is None:
+            out[i] = _encode_other(t, path)
+            continue
+        group.append(i)
+        lower.append(plain)
+        held += len(plain)
+        if held >= PIECE:
+            flush()
+            held = 0
+    flush()
     end = END_ID.to_bytes(WIDTH, "little")
-    get = _young.__getitem__
-    return [b"".join(map(get, words)) + end if isinstance(words, list) else words + end for words in split]
+    return [ids + end for ids in out]
+
+
+def _encode_other(text: bytes, path: str) -> bytes:
+    if b"<|" not in text:
+        try:
+            decoded = text.decode("utf-8")
+            decoded.encode("latin-1")
+        except UnicodeError:
+            pass
+        else:
+            words = LATIN_WORD.findall(decoded.lower())
+            distinct = list(dict.fromkeys(words))
+            known = dict(zip(distinct, _library(distinct, path), strict=True))
+            return b"".join(map(known.__getitem__, words))
+    return _pack(_tokenizer(path).encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids)
 
 
 def cut(ids: np.ndarray) -> list[int]:
@@ -382,6 +462,7 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
     distinct = recipes.select("recipe").distinct()
     entries = distinct.mapInArrow(_entries, "whole binary, key binary, said long, after long").join(facts, "key", "left")
     wholes = entries.select("whole", "said", "n", "crc", "after").mapInArrow(_shifted, "whole binary, n long, crc long").groupBy("whole").agg(F.sum("n").alias("n_read"), F.expr("bit_xor(crc)").alias("ids_crc32"))
+    wholes = stored(wholes, "read-back")  # as a table of its own, so that the join below can split a hot recipe
     before, bases = 0, []
     for part, _, tokens, _ in manifest(spark, folder):
         bases.append((part, before))
