@@ -133,6 +133,14 @@ def test_inconsistent_slots_do_not_count(spark, frame):
     assert [r.doc_id for r in decontaminate.contaminated_documents(docs, bench).collect()] == [1]
 
 
+def test_every_window_of_an_item_counts(spark, frame):
+    item = "If I have 5 cats and you buy 3 more, how many cats do we have in all? Explain."
+    bench = spark.createDataFrame([(1, item), (2, "12 + 7 = 19"), (3, "na ga o da ri mi ne so ba ke lo")], "item_id long, text string")
+    docs = frame([(1, item.replace(" Explain.", "") + " Yes"), (2, "We saw that many cats do we have in all? Explain."), (3, "sum: 12 + 7 = 19 ok"), (4, "sum: 12 + 8 = 19 ok"), (5, "x na ga o da ri mi ne so ba ke y")])
+    rows = {(r.doc_id, r.item_id): (r.windows, r.matched) for r in decontaminate.contaminated_documents(docs, bench).collect()}
+    assert rows == {(1, 1): (12, 11), (3, 2): (1, 1), (5, 3): (4, 3)}
+
+
 def test_toxicity(spark, edge, empty, frame):
     rows = [(i, ("you idiot go away " if i % 4 == 0 else "a fine day it is ") + f"number{i % 17}") for i in range(200)]
     known = labels(spark, [(i, 1, int(i % 4 == 0), "x") for i in range(200)] + [(None, 1, 1, "x"), (3, 1, None, "x")])
