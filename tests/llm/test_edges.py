@@ -141,6 +141,15 @@ def test_every_window_of_an_item_counts(spark, frame):
     assert rows == {(1, 1): (12, 11), (3, 2): (1, 1), (5, 3): (4, 3)}
 
 
+def test_copies_are_found_whatever_their_case_and_neighbours(spark, frame):
+    german = "Der Zug nach Berlin hat am Morgen in Leipzig zwanzig Minuten auf den Anschluss aus Dresden gewartet"
+    bench = spark.createDataFrame([(1, "What is the capital of France?"), (2, german)], "item_id long, text string")
+    docs = frame([(1, "Question: What is the capital of France?"), (2, german.lower()), (3, german.title()), (4, german.upper()), (5, "Question: What is the currency of France?"), (6, "what is the capital of france")])
+    rows = {(r.doc_id, r.item_id): (r.coverage, r.reparameterised) for r in decontaminate.contaminated_documents(docs, bench).collect()}
+    assert rows == {(1, 1): (1.0, False), (2, 2): (1.0, False), (3, 2): (1.0, False), (4, 2): (1.0, False), (6, 1): (1.0, False)}
+    assert [r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()] == [5]
+
+
 def test_toxicity(spark, edge, empty, frame):
     rows = [(i, ("you idiot go away " if i % 4 == 0 else "a fine day it is ") + f"number{i % 17}") for i in range(200)]
     known = labels(spark, [(i, 1, int(i % 4 == 0), "x") for i in range(200)] + [(None, 1, 1, "x"), (3, 1, None, "x")])
