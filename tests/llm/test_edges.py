@@ -150,6 +150,15 @@ def test_copies_are_found_whatever_their_case_and_neighbours(spark, frame):
     assert [r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()] == [5]
 
 
+def test_same_windows_and_long_rows_count(spark, frame):
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(130)]
+    long = " ".join([*words[:10], "5", *words[10:20], "5", *words[20:60]])
+    bench = spark.createDataFrame([(1, long), (2, " ".join(words[::-1]))], "item_id long, text string")
+    docs = frame([(1, " ".join([*words[:10], "5", *words[10:20], "6", *words[20:60]])), (2, " ".join(words[::-1][:60])), (3, " ".join(words[::-1][:40]))])
+    rows = {(r.doc_id, r.item_id): (r.windows, r.matched, r.reparameterised) for r in decontaminate.contaminated_documents(docs, bench).collect()}
+    assert rows == {(1, 1): (55, 47, False), (2, 2): (123, 53, False)}
+
+
 def test_toxicity(spark, edge, empty, frame):
     rows = [(i, ("you idiot go away " if i % 4 == 0 else "a fine day it is ") + f"number{i % 17}") for i in range(200)]
     known = labels(spark, [(i, 1, int(i % 4 == 0), "x") for i in range(200)] + [(None, 1, 1, "x"), (3, 1, None, "x")])
