@@ -80,6 +80,15 @@ def test_chat(spark):
     assert chat.format_chat(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_chat_links_short_quotations(spark):
+    rows = [
+        (1, 0, "user", "Ready?"), (1, 1, "assistant", "Yes."), (1, 2, "user", "Thanks!"), (1, 3, "assistant", "> Yes.\nGood."), (1, 4, "user", "> ...\nNothing."),
+        (2, 0, "user", "Ok. The train leaves at nine."), (2, 1, "assistant", "Ok."), (2, 2, "user", "> Ok. The train leaves at nine.\nSure."), (2, 3, "user", "> 好的\nx"), (3, 0, "user", "好的"), (3, 1, "user", "> 好的\nx"),
+    ]
+    got = {(r.conv_id, r.turn): (r.parent_turn, r.path) for r in chat.chat_rows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert {k: v for k, v in got.items() if v[0] >= 0} == {(1, 3): (1, "1/3"), (2, 2): (0, "0/2"), (3, 1): (0, "0/1")}
+
+
 def test_chat_equals_its_sql(spark):
     """The tables hold no quotations, so the SQL is held against the operator on messages that do."""
     import duckdb
