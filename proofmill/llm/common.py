@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,11 +50,13 @@ def raw(column: pa.Array) -> list[bytes]:
 # --- vectorised hashes ---------------------------------------------------------------------------------------------
 
 _rng = np.random.Generator(np.random.PCG64(20_240_607))
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 2**64)
-#: Set by hand: odd multipliers, one for each place in a shingle.
+#: Odd multipliers, one for each place in a shingle.
 _PLACES = _rng.integers(1, 2**62, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Words of at most so many bytes are hashed by lanes of 8; longer ones by blake2b.
+LANES = 4
+_SALTS = _rng.integers(1, 2**63, 8 * LANES + 1, dtype=np.uint64)
+#: What of a lane belongs to a word that has so many bytes of it.
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
@@ -63,16 +66,6 @@ NON_LETTERS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(
 
 #: Bytes hashed at once; longer texts go through in pieces that end at white space.
 PIECE = 1 << 20
-_powers = [np.ones(0, np.uint64), np.ones(0, np.uint64)]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            x = np.full(max(n, PIECE + 4096), base, np.uint64)
-            x[0] = 1
-            _powers[k] = np.multiply.accumulate(x)
-    return _powers[0], _powers[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -84,23 +77,70 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _lanes(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of ``buf`` on as one number; zeros follow the last byte."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
+
+
 def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of spans of bytes; equal spans have equal hashes in every process."""
-    up, down = _power_tables(len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE[buf] * up[: len(buf)], out=sums[1:])
-    hashes = (sums[ends] - sums[starts]) * down[starts]
-    return mix(hashes + (ends - starts).astype(np.uint64) * _PLACES[0])
+    """64-bit hashes of spans of bytes; equal spans have equal hashes in every process.
+
+    Each lane goes through a non-linear step, so no pattern of bytes makes different spans meet but by chance. Where
+    even chance must not decide, ``distinct_spans`` compares the bytes.
+    """
+    lanes, length = _lanes(buf), ends - starts
+    hashes = mix((lanes[starts] & _KEEP[np.minimum(length, 8)]) ^ _SALTS[np.minimum(length, 8 * LANES)])
+    live = np.flatnonzero(length > 8)
+    for k in range(1, LANES):
+        if not len(live):
+            break
+        lane = lanes[starts[live] + 8 * k] & _KEEP[np.minimum(length[live] - 8 * k, 8)]
+        hashes[live] = mix(hashes[live] + mix(lane ^ _SALTS[k]) * _PLACES[k])
+        live = live[length[live] > 8 * (k + 1)]
+    for i in live.tolist():
+        hashes[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return hashes
+
+
+def distinct_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, which): a span of each distinct content, and for each span the number of its content.
+
+    Found by hash, then every span is compared byte for byte with the one that stands for it.
+    """
+    _, first, which = np.unique(hash_spans(buf, starts, ends), return_index=True, return_inverse=True)
+    lanes, length, model = _lanes(buf), ends - starts, starts[first][which]
+    same = length == length[first][which]
+    live = np.flatnonzero(same)
+    for k in range(LANES):
+        keep = _KEEP[np.minimum(length[live] - 8 * k, 8)]
+        same[live] = (lanes[starts[live] + 8 * k] & keep) == (lanes[model[live] + 8 * k] & keep)
+        live = live[same[live] & (length[live] > 8 * (k + 1))]
+        if not len(live):
+            break
+    for i in live.tolist():
+        same[i] = np.array_equal(buf[starts[i] : ends[i]], buf[model[i] : model[i] + length[i]])
+    if same.all():
+        return first, which
+    number: dict[bytes, int] = {}
+    data = buf.tobytes()
+    which = np.array([number.setdefault(data[a:b], len(number)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+    return np.unique(which, return_index=True)[1], which
+
+
+def word_spans(data: bytes, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of one piece."""
+    inside = np.zeros(len(data) + 2, np.int8)
+    inside[1:-1] = ~separators[np.frombuffer(data, np.uint8)]
+    step = np.diff(inside)
+    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
 def _hash_words(data: bytes, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and hashes of the words of one piece."""
-    buf = np.frombuffer(data, np.uint8)
-    inside = np.zeros(len(buf) + 2, np.int8)
-    inside[1:-1] = ~separators[buf]
-    step = np.diff(inside)
-    starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-    return starts, ends, hash_spans(buf, starts, ends)
+    starts, ends = word_spans(data, separators)
+    return starts, ends, hash_spans(np.frombuffer(data, np.uint8), starts, ends)
 
 
 def _word_groups(texts: list[bytes], separators: np.ndarray) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:

@@ -2,7 +2,7 @@
 
 A rolling hash over the last ids cuts each document's id stream into chunks; a chunk is stored once under its digest.
 A document is a recipe: the digests and lengths of its chunks. Recipes lie in files by ascending doc_id; a manifest has
-a Merkle root per file and one over all files, from which reading back verifies every chunk, recipe and count.
+a Merkle root per file, and ``root/`` has one over all files; reading back verifies every chunk, recipe and count by them.
 
 File format, below one folder: ``encoded/kind=chunk/`` Parquet (key, data), data being little-endian unsigned integers
 of WIDTH bytes and key their digest; ``recipes/part=N/`` Parquet (row, doc_id, n_tokens, start, recipe), start within
@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofmill.llm.common import PIECE, hash_spans, raw, small_batches
+from proofmill.llm.common import PIECE, distinct_spans, raw, small_batches
 from proofmill.session import partitions, shared_path, stored
 
 END_ID = 1
@@ -43,9 +43,9 @@ _ODD = np.array([pow(0x01000193, j, 2**32) for j in range(WINDOW)], np.uint32)
 _tokenizers: dict[str, object] = {}
 _plain: dict[str, object] = {}
 _word_ends: dict[str, np.ndarray] = {}
-#: Ids of the words of late and of those before, by the words' hashes.
-_young: dict[int, bytes] = {}
-_old: dict[int, bytes] = {}
+#: Ids of the words of late and of those before.
+_young: dict[bytes, bytes] = {}
+_old: dict[bytes, bytes] = {}
 #: Bytes of ASCII and of accented Latin-1 letters, and the class of each byte: 0 blank, 1 letter, 2 digit, 3 other mark.
 _LATIN_BYTES = bytes([*range(128), 0xC3, *range(0x80, 0xC0)])
 _KIND = np.full(256, 3, np.uint8)
@@ -115,7 +115,7 @@ def _plain_text(text: bytes) -> bytes | None:
 
 
 def _encode_plain(texts: list[bytes], path: str) -> list[bytes]:
-    """Ids of texts that ``_plain_text`` gave. Words are hashed together, and each distinct one is looked up once."""
+    """Ids of texts that ``_plain_text`` gave. Each distinct word is looked up once."""
     data = b"\n".join(texts)
     buf = np.frombuffer(data, np.uint8)
     kind = np.zeros(len(buf) + 2, np.uint8)
@@ -124,8 +124,9 @@ def _encode_plain(texts: list[bytes], path: str) -> list[bytes]:
     edge = (kind[1:] != kind[:-1]) | (kind[:-1] == 2)
     starts = np.flatnonzero(change[:-1] & (kind[1:-1] != 0))
     ends = np.flatnonzero(edge[1:] & (kind[1:-1] != 0)) + 1
-    hashes, first, which = np.unique(hash_spans(buf, starts, ends), return_index=True, return_inverse=True)
-    pieces = list(map(_young.get, keys := hashes.tolist()))
+    first, which = distinct_spans(buf, starts, ends)
+    keys = [data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+    pieces = list(map(_young.get, keys))
     missing = [i for i, p in enumerate(pieces) if p is None]
     new = []
     for i in missing:
@@ -133,7 +134,7 @@ def _encode_plain(texts: list[bytes], path: str) -> list[bytes]:
             new.append(i)
         else:
             pieces[i] = p
-    for i, p in zip(new, _library([data[starts[k] : ends[k]].decode() for k in first[new].tolist()], path), strict=True):
+    for i, p in zip(new, _library([keys[i].decode() for i in new], path), strict=True):
         pieces[i] = p
     _young.update((keys[i], pieces[i]) for i in missing)
     pool = np.frombuffer(b"".join(pieces), f"<u{WIDTH}")
@@ -296,15 +297,19 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts = np.array(batch.column(1).to_pylist(), np.int64)
         starts = start + np.cumsum(counts) - counts
-        for doc, recipe in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            tree.add(f"{doc}:".encode() + recipe)
         n = len(counts)
+        for k, (doc, tokens, recipe) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+            tree.add(_leaf(row + k, doc, tokens, recipe))
         yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(row + np.arange(n)), batch.column(0), batch.column(1), pa.array(starts), batch.column(2)], schema=_RECIPES)
         row, start = row + n, start + int(counts.sum())
     if row:
         yield pa.RecordBatch.from_pylist([{"part": part, "row": -1, "doc_id": row, "n_tokens": start, "start": 0, "recipe": b"root:" + tree.root()}], schema=_RECIPES)
 
 
+def _leaf(row: int, doc: int | None, tokens: int, recipe: bytes) -> bytes:
+    return hashlib.sha256(f"{row}:{doc}:{tokens}:".encode() + recipe).digest()
+
+
 def write_store(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every text, null as empty, and write chunks, recipes and manifest below ``folder``.
 
@@ -320,6 +325,9 @@ def write_store(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str =
     order = [F.col("doc_id").asc_nulls_last(), F.col("key")]
     parts = recipes.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select("doc_id", "n_tokens", "recipe")
     parts.mapInArrow(_number, "part int, row long, doc_id long, n_tokens long, start long, recipe binary").write.partitionBy("part").parquet(f"{folder}/recipes")
+    parts_written = manifest(spark, folder)
+    # one row: the root over all files, which reading back holds against the files' manifests
+    spark.createDataFrame([(bytearray(corpus_root(parts_written)),)], "root binary").coalesce(1).write.parquet(f"{folder}/root")
 
 
 def _encoded(spark: SparkSession, folder: str) -> DataFrame:
@@ -348,26 +356,44 @@ def corpus_root(parts: list[tuple[int, int, int, bytes]]) -> bytes:
     return tree.root()
 
 
+def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each recipe row's leaf, made again from what the file says."""
+    for batch in batches:
+        leaves = [_leaf(*row) for row in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(leaves, pa.binary())], names=["part", "row", "n_tokens", "leaf"])
+
+
+_ROOTS = pa.schema([("part", pa.int32()), ("documents", pa.int64()), ("tokens", pa.int64()), ("root", pa.binary())])
+
+
 def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The Merkle root of each part, from rows sorted by part and row."""
-    now, tree, schema = None, Merkle(), pa.schema([("part", pa.int32()), ("root", pa.binary())])
+    """Rows, tokens and Merkle root of each part, from leaves sorted by part and row."""
+    now, tree, count, total = None, Merkle(), 0, 0
     for batch in batches:
-        for part, doc, recipe in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for part, tokens, leaf in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if part != now:
                 if now is not None:
-                    yield pa.RecordBatch.from_pylist([{"part": now, "root": tree.root()}], schema=schema)
-                now, tree = part, Merkle()
-            tree.add(f"{doc}:".encode() + recipe)
+                    yield pa.RecordBatch.from_pylist([{"part": now, "documents": count, "tokens": total, "root": tree.root()}], schema=_ROOTS)
+                now, tree, count, total = part, Merkle(), 0, 0
+            tree.add(leaf)
+            count, total = count + 1, total + tokens
     if now is not None:
-        yield pa.RecordBatch.from_pylist([{"part": now, "root": tree.root()}], schema=schema)
+        yield pa.RecordBatch.from_pylist([{"part": now, "documents": count, "tokens": total, "root": tree.root()}], schema=_ROOTS)
 
 
 def verify_roots(spark: SparkSession, folder: str) -> list[int]:
-    """The parts whose recipes do not hash to the manifest's root; none if all is well."""
+    """The parts whose rows, in order, do not give the manifest's documents, tokens and root; -1 for the root over all.
 
-    sorted_parts = _recipes(spark, folder).where("row >= 0").repartition("part").sortWithinPartitions("part", "row").select("part", "doc_id", "recipe")
-    found = {r[0]: bytes(r[1]) for r in sorted_parts.mapInArrow(_roots, "part int, root binary").collect()}
-    return [part for part, _, _, root in manifest(spark, folder) if found.get(part) != root]
+    Only leaves are shuffled, 32 bytes and two numbers a document.
+    """
+    said = manifest(spark, folder)
+    leaves = _recipes(spark, folder).where("row >= 0").select("part", "row", "doc_id", "n_tokens", "recipe").mapInArrow(_leaves, "part int, row long, n_tokens long, leaf binary")
+    ordered = leaves.repartition("part").sortWithinPartitions("part", "row").select("part", "n_tokens", "leaf")
+    # as many rows as files
+    found = {r[0]: (r[1], r[2], bytes(r[3])) for r in ordered.mapInArrow(_roots, "part int, documents long, tokens long, root binary").collect()}
+    wrong = [part for part, *rest in said if found.pop(part, None) != tuple(rest)] + sorted(found)
+    kept = [bytes(r[0]) for r in spark.read.schema("root binary").parquet(f"{folder}/root").collect()]
+    return wrong if kept == [corpus_root(said)] else [-1, *wrong]
 
 
 # --- crc32 of joined chunks ----------------------------------------------------------------------------------------
@@ -455,8 +481,14 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_store(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per document, from the files: doc_id, start, n_tokens, ids_crc32. Each chunk is read and checked once."""
+    """One row per document, from the files: doc_id, start, n_tokens, ids_crc32.
+
+    Raises ValueError where a part's recipes, order or counts differ from its Merkle root, a part is missing, or the
+    parts differ from the root over all. Each chunk is read once and checked against its digest.
+    """
     small_batches(spark)
+    if wrong := verify_roots(spark, folder):
+        raise ValueError(f"the store's Merkle roots differ from its files: parts {wrong} (-1: the root over all)")
     recipes = _recipes(spark, folder).where("row >= 0")
     facts = chunks(spark, folder).mapInArrow(_facts, "key binary, n long, crc long")
     distinct = recipes.select("recipe").distinct()
@@ -475,7 +507,11 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def token_store(docs: DataFrame, tokenizer_path: str, folder: str | None = None) -> DataFrame:
-    """Write the store and read it back."""
+    """Write the store below ``folder`` and read it back: one row per document, doc_id, start, n_tokens, ids_crc32.
+
+    Null and empty texts have the end id alone. Null ids come last; rows that repeat an id or a text are all kept. An
+    empty table gives no rows. Other columns are ignored.
+    """
     spark = docs.sparkSession
     folder = folder or shared_path(spark, "store")
     write_store(docs, folder, tokenizer_path)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofmill.llm.common import PIECE, SPACES, _hash_words, _pieces, raw, small_batches
+from proofmill.llm.common import PIECE, SPACES, _pieces, distinct_spans, raw, small_batches, word_spans
 
 #: A word's last byte is a symbol of its own, LAST more than the byte: pieces that end a word match nowhere else.
 LAST = 256
@@ -116,12 +116,13 @@ def load_pieces(path: str, end: str = "</w>") -> list[tuple[int, ...]]:
 
 def _word_counts(automaton: Automaton, data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Start and number of pieces of each word of a piece of text; equal words go through the automaton once."""
-    starts, ends, hashes = _hash_words(data, SPACES)
+    starts, ends = word_spans(data, SPACES)
     if not len(starts):
         return starts, np.zeros(0, np.int64)
-    _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+    buf = np.frombuffer(data, np.uint8)
+    first, which = distinct_spans(buf, starts, ends)
     begin, size = starts[first], (ends - starts)[first]
-    buf = np.frombuffer(data, np.uint8).astype(np.int64)
+    buf = buf.astype(np.int64)
     order = np.argsort(-size, kind="stable")
     begin, size = begin[order], size[order]
     nodes, count = np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64)
