@@ -17,7 +17,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_classes(table(spark, sf_dir, "documents"))
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
