@@ -1,9 +1,11 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a two-layer network.
 
-Each token has a fixed sparse ternary index vector. A token's context vector is the sum of its neighbours' index
-vectors over all documents, summed as distributed blocks. A document is the mean of its tokens' normalised context
-vectors beside the mean of its tokens' shapes. A network of two layers in numpy gives a logit; a temperature fitted on
-rows kept aside turns it into a probability. Labels come from a bounded sample; word statistics from every text.
+Each token has a fixed sparse ternary index vector, made from its hash. A token's context vector is the sum of its
+neighbours' index vectors. For the words of the labelled sample it is summed over all documents; any other token has
+the sum of its neighbours where it stands, so no two words are merged. A document is the mean and the spread of its
+tokens' normalised vectors and the mean product of neighbours; nothing else of it is an input of the network. A network of two layers in numpy
+gives a logit; a temperature fitted on rows kept aside turns it into a probability. Labels come from a bounded sample;
+word statistics from every text.
 """
 
 from __future__ import annotations
@@ -17,97 +19,96 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofmill.llm.common import PIECE, SPACES, _hash_words, _pieces, fold, mix, raw, small_batches
+from proofmill.llm.common import PIECE, SPACES, _pieces, fold, hash_spans, mix, raw, small_batches
 
 #: The largest number of labelled rows, of either label, that a fit sees.
 SAMPLE = (6_000, 6_000)
-#: Tokens are hashed into BUCKETS; a vector has SIZE places, of which an index vector fills FILLED with 1 or -1.
-BUCKETS, SIZE, FILLED = 1 << 13, 48, 3
-#: Shapes: what bytes a token is made of, how it begins and ends, and whether it repeats the one before.
-SHAPES = 256
+#: Words of the sample that have a context vector over all documents, the most frequent ones.
+VOCABULARY = 1 << 14
+#: A vector has SIZE places, of which an index vector fills FILLED with 1 or -1.
+SIZE, FILLED = 48, 3
+WIDTH = 3 * SIZE + 1
 HIDDEN, STEPS, RATE, DECAY = 24, 500, 0.02, 1e-3
 THRESHOLD = 0.3
 BLOCKS = 64
 
-_KIND = np.zeros(256, np.uint8)  # 0 other mark, 1 lower or non-ASCII, 2 upper, 3 digit, 4 sentence mark
-_KIND[[*range(97, 123), *range(128, 256)]] = 1
-_KIND[65:91] = 2
-_KIND[48:58] = 3
-_KIND[[33, 44, 46, 58, 59, 63]] = 4
+#: Classes of bytes: 0 blank, 1 letter or byte of a multi-byte character, 2 digit, 3 other mark.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+_KIND[48:58] = 2
+_KIND[SPACES] = 0
 
 
-def _index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """Places and signs of the index vectors of buckets and shapes."""
-    n = BUCKETS + SHAPES
-    h = mix(np.arange(n * FILLED, dtype=np.uint64) + np.uint64(99)).reshape(n, FILLED)
-    return (h % np.uint64(SIZE)).astype(np.int64), np.where((h >> np.uint64(40)) & np.uint64(1), 1.0, -1.0)
-
-
-_PLACES, _SIGNS = _index_vectors()
-
+def tokens(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the runs of letters, of digits and of marks."""
+    buf = np.frombuffer(data, np.uint8)
+    kind = np.zeros(len(buf) + 2, np.uint8)
+    kind[1:-1] = _KIND[buf]
+    change = np.flatnonzero(kind[1:] != kind[:-1])
+    starts, ends = change[:-1], change[1:]
+    inside = kind[starts + 1] != 0
+    starts, ends = starts[inside], ends[inside]
+    return starts, hash_spans(buf, starts, ends)
 
-def _tokens(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, bucket and shape of each token of a piece."""
-    starts, ends, hashes = _hash_words(data, SPACES)
-    if not len(starts):
-        return starts, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    kind = _KIND[np.frombuffer(data, np.uint8)]
-    has = [np.concatenate([[0], np.cumsum(kind == k)]) for k in range(5)]
-    count = [(h[ends] - h[starts]) for h in has]
-    letters = count[1] + count[2]
-    shape = np.where(letters == 0, 0, np.where(count[2] == 0, 1, np.where(count[2] == letters, 2, 3)))  # no letters, lower, upper, mixed
-    shape = shape * 2 + (count[3] > 0)
-    shape = shape * 3 + np.minimum(count[0], 2)
-    shape = shape * 3 + np.minimum(count[4], 2)
-    again = np.zeros(len(starts), bool)
-    again[1:] = hashes[1:] == hashes[:-1]
-    return starts, (hashes % np.uint64(BUCKETS)).astype(np.int64), shape * 2 + again
 
-
-def _documents(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(row, buckets, shapes) of each text."""
+def _documents(texts: list[bytes]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """(rows, cuts, token hashes): some texts at once, text k of them having the tokens from cuts[k] to cuts[k + 1]."""
     group: list[int] = []
     size = 0
 
-    def flush() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        starts, bucket, shape = _tokens(b"\n".join(texts[i] for i in group))
-        cuts = np.searchsorted(starts, np.cumsum([0, *(len(texts[i]) + 1 for i in group)]))
-        for k, i in enumerate(group):
-            yield i, bucket[cuts[k] : cuts[k + 1]], shape[cuts[k] : cuts[k + 1]]
+    def flush() -> tuple[list[int], np.ndarray, np.ndarray]:
+        starts, hashes = tokens(b"\n".join(texts[i] for i in group))
+        return group, np.searchsorted(starts, np.cumsum([0, *(len(texts[i]) + 1 for i in group)])), hashes
 
     for i, t in enumerate(texts):
         if len(t) > PIECE:
-            parts = [_tokens(p) for p in _pieces(t, SPACES)]
-            yield i, np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+            hashes = np.concatenate([tokens(p)[1] for p in _pieces(t, SPACES)])
+            yield [i], np.array([0, len(hashes)]), hashes
             continue
         if group and size + len(t) > PIECE:
-            yield from flush()
+            yield flush()
             group, size = [], 0
         group.append(i)
         size += len(t) + 1
     if group:
-        yield from flush()
+        yield flush()
+
+
+def _neighbours(cuts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(token, neighbour) for all neighbours within a text."""
+    joined = np.ones(max(0, n - 1), bool)
+    inner = cuts[1:-1]
+    joined[inner[(inner > 0) & (inner < n)] - 1] = False
+    left = np.flatnonzero(joined)
+    return np.concatenate([left, left + 1]), np.concatenate([left + 1, left])
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's sums of neighbours' index vectors, as one row for each block of buckets."""
-    total = np.zeros(BUCKETS * SIZE)
+def index_vectors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of the index vectors of tokens, FILLED columns each."""
+    h = mix(hashes[:, None] + np.arange(1, FILLED + 1, dtype=np.uint64))
+    return (h % np.uint64(SIZE)).astype(np.int64), np.where((h >> np.uint64(40)) & np.uint64(1), 1.0, -1.0)
+
+
+def _places(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The place of each token in the sorted words, -1 for others."""
+    if not len(words):
+        return np.full(len(hashes), -1)
+    at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
+    return np.where(words[at] == hashes, at, -1)
+
+
+def _contexts(batches: Iterator[pa.RecordBatch], words: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A task's sums of neighbours' index vectors, as one row for each block of words."""
+    total = np.zeros(len(words) * SIZE)
     any_row = False
     for batch in batches:
-        buckets, shapes = [], []
-        for _, bucket, shape in _documents(raw(batch.column(0))):
-            buckets += [bucket, [-1]]
-            shapes += [shape, [-1]]
-        if not buckets:
-            continue
-        any_row = True
-        bucket, shape = np.concatenate(buckets).astype(np.int64), np.concatenate(shapes).astype(np.int64)
-        inside = (bucket[1:] >= 0) & (bucket[:-1] >= 0)
-        left, right = np.flatnonzero(inside), np.flatnonzero(inside) + 1
-        for a, b in ((left, right), (right, left)):
-            for source in (bucket[b], BUCKETS + shape[b]):
-                for k in range(FILLED):
-                    total += np.bincount(bucket[a] * SIZE + _PLACES[source, k], weights=_SIGNS[source, k], minlength=BUCKETS * SIZE)
+        for _, cuts, hashes in _documents(raw(batch.column(0))):
+            any_row = True
+            of, by = _neighbours(cuts, len(hashes))
+            word = _places(words, hashes)[of]
+            of, by = word[word >= 0], by[word >= 0]
+            place, sign = index_vectors(hashes)
+            total += np.bincount((of[:, None] * SIZE + place[by]).ravel(), weights=sign[by].ravel(), minlength=len(total))
     if any_row:
         rows = total.astype(np.float32).reshape(BLOCKS, -1)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCKS, dtype=np.int32)), pa.array([r.tobytes() for r in rows], pa.binary())], names=["block", "sums"])
@@ -124,32 +125,54 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([*sums], pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in sums.values()], pa.binary())], names=["block", "sums"])
 
 
-def word_vectors(docs: DataFrame) -> np.ndarray:
-    """Normalised context vectors of all buckets over all documents: BUCKETS * SIZE numbers, whatever the input."""
+def unit(vectors: np.ndarray) -> np.ndarray:
+    return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-6)
+
+
+def word_vectors(docs: DataFrame, words: np.ndarray) -> np.ndarray:
+    """Normalised context vectors of the sorted words over all documents, and of rows without a word up to VOCABULARY."""
+    padded = np.concatenate([words, np.full(VOCABULARY - len(words), np.uint64(2**64 - 1))])
     schema = "block int, sums binary"
-    parts = docs.select(F.col("text").cast("string")).mapInArrow(_contexts, schema)
+    parts = docs.select(F.col("text").cast("string")).mapInArrow(partial(_contexts, words=padded), schema)
     got = parts.repartition(BLOCKS, "block").mapInArrow(_add, schema).toArrow()
-    vectors = np.zeros((BLOCKS, BUCKETS * SIZE // BLOCKS), np.float32)
+    vectors = np.zeros((BLOCKS, VOCABULARY * SIZE // BLOCKS), np.float32)
     for block, data in zip(got.column("block").to_pylist(), got.column("sums").to_pylist(), strict=True):
         vectors[block] = np.frombuffer(data, np.float32)
-    vectors = vectors.reshape(BUCKETS, SIZE)
-    return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-6)
+    return unit(vectors.reshape(VOCABULARY, SIZE))[: len(words)]
 
 
-def pool(bucket: np.ndarray, shape: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Mean word vector, share of each shape, and the logarithm of the length; zeros without tokens."""
-    out = np.zeros(SIZE + SHAPES + 1, np.float32)
-    if len(bucket):
-        seen = np.bincount(bucket, minlength=BUCKETS)
-        at = np.flatnonzero(seen)
-        out[:SIZE] = seen[at] @ vectors[at] / len(bucket)
-        out[SIZE:-1] = np.bincount(shape, minlength=SHAPES)[:SHAPES] / len(shape)
-        out[-1] = np.log1p(len(bucket)) / 10
+def pool(texts: list[bytes], words: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """For each text the mean and the spread of its tokens' vectors, the mean product of vectors that follow each other,
+    and 1; zeros without tokens."""
+    out = np.zeros((len(texts), WIDTH))
+    for rows, cuts, hashes in _documents(texts):
+        if not len(hashes):
+            continue
+        word = _places(words, hashes)
+        other = np.flatnonzero(word < 0)
+        row_of = np.full(len(hashes), -1)
+        row_of[other] = np.arange(len(other))
+        of, by = _neighbours(cuts, len(hashes))
+        of, by = row_of[of[word[of] < 0]], by[word[of] < 0]
+        place, sign = index_vectors(hashes)
+        own = np.bincount((of[:, None] * SIZE + place[by]).ravel(), weights=sign[by].ravel(), minlength=len(other) * SIZE).reshape(-1, SIZE)
+        every = np.empty((len(hashes), SIZE), np.float32)
+        every[word >= 0] = vectors[word[word >= 0]]
+        every[other] = unit(own)
+        count = np.diff(cuts)
+        some = np.flatnonzero(count)
+        # the product at a text's first token is with the text before; it is taken out
+        follow = np.empty_like(every)
+        np.multiply(every[1:], every[:-1], out=follow[1:])
+        follow[cuts[some]] = 0
+        mean, square, follow = (np.add.reduceat(x, cuts[some], axis=0) / count[some, None] for x in (every, every * every, follow))
+        out[np.array(rows)[some]] = np.concatenate([mean, np.sqrt(np.maximum(square - mean * mean, 0)), follow, np.ones((len(some), 1))], axis=1)
     return out
 
 
 @dataclass(frozen=True)
 class Model:
+    words: np.ndarray
     vectors: np.ndarray
     mean: np.ndarray
     scale: np.ndarray
@@ -167,17 +190,23 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -40, 40)))
 
 
-def fit(x: np.ndarray, good: np.ndarray, vectors: np.ndarray) -> Model:
+def best_temperature(logit: np.ndarray, good: np.ndarray) -> float:
+    """The temperature of the least log loss on rows that the network did not learn from."""
+    grid = np.exp(np.linspace(np.log(0.25), np.log(8), 61))
+    loss = [np.mean(np.logaddexp(0, -np.where(good > 0, 1, -1) * logit / t)) for t in grid]
+    return float(grid[int(np.argmin(loss))])
+
+
+def fit(x: np.ndarray, good: np.ndarray, words: np.ndarray, vectors: np.ndarray) -> Model:
     """Train on four fifths of the rows, find the temperature on the rest. Without both labels one rate is all."""
     good = np.asarray(good, float)
     if not len(x) or good.min() == good.max():
         rate = (good.sum() + 0.5) / (len(good) + 1.0) if len(good) else 0.5
-        width = SIZE + SHAPES + 1
-        return Model(vectors, np.zeros(width), np.ones(width), np.zeros((width, 1)), np.zeros(1), np.zeros(1), float(np.log(rate / (1 - rate))), 1.0)
+        return Model(words, vectors, np.zeros(WIDTH), np.ones(WIDTH), np.zeros((WIDTH, 1)), np.zeros(1), np.zeros(1), float(np.log(rate / (1 - rate))), 1.0)
     aside = np.arange(len(x)) % 5 == 4
     if good[~aside].min() == good[~aside].max() or not aside.any():
         aside[:] = False
-    mean, scale = x.mean(0), x.std(0) + 0.02
+    mean, scale = x.mean(0), x.std(0) + 0.01
     z, y = ((x - mean) / scale)[~aside], good[~aside]
     rng = np.random.Generator(np.random.PCG64(11))
     params = [rng.normal(0, 1 / np.sqrt(z.shape[1]), (z.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)]
@@ -194,28 +223,29 @@ def fit(x: np.ndarray, good: np.ndarray, vectors: np.ndarray) -> Model:
             m[0] = 0.9 * m[0] + 0.1 * g
             m[1] = 0.999 * m[1] + 0.001 * g**2
             q -= RATE * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.999**step)) + 1e-8)
-    model = Model(vectors, mean, scale, params[0], params[1], params[2], float(params[3][0]), 1.0)
+    model = Model(words, vectors, mean, scale, params[0], params[1], params[2], float(params[3][0]), 1.0)
     if not aside.any():
         return model
-    logit, y = model.logits(x[aside]), good[aside]
-    grid = np.exp(np.linspace(np.log(0.25), np.log(8), 61))
-    loss = [np.mean(np.logaddexp(0, -np.where(y > 0, 1, -1) * logit / t)) for t in grid]
-    return Model(vectors, mean, scale, params[0], params[1], params[2], float(params[3][0]), float(grid[int(np.argmin(loss))]))
+    return Model(words, vectors, mean, scale, params[0], params[1], params[2], float(params[3][0]), best_temperature(model.logits(x[aside]), good[aside]))
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, times) of each batch of sampled texts."""
+    for batch in batches:
+        found = [hashes for _, _, hashes in _documents(raw(batch.column(0)))]
+        words, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(times.astype(np.int64))], names=["word", "times"])
 
 
-def _pooled(batches: Iterator[pa.RecordBatch], vectors: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _pooled(batches: Iterator[pa.RecordBatch], words: np.ndarray, vectors: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [b""] * batch.num_rows
-        for i, bucket, shape in _documents(raw(batch.column(2))):
-            rows[i] = pool(bucket, shape, vectors).tobytes()
+        rows = [x.tobytes() for x in pool(raw(batch.column(2)), words, vectors)]
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(rows, pa.binary())], names=["doc_id", "label", "pooled"])
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x = np.zeros((batch.num_rows, SIZE + SHAPES + 1), np.float32)
-        for i, bucket, shape in _documents(raw(batch.column(1))):
-            x[i] = pool(bucket, shape, model.vectors)
+        x = pool(raw(batch.column(1)), model.words, model.vectors)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.probabilities(x) if len(x) else np.zeros(0))], names=["doc_id", "score"])
 
 
@@ -224,23 +254,26 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Word vectors over all of ``docs``; the network on SAMPLE labelled rows at most, none of them held out.
+    """The network on SAMPLE labelled rows at most, none of them held out; their words' vectors over all of ``docs``.
 
     An id that is labelled more than once is good only if every label says so; null ids and labels are left out.
     """
     small_batches(docs.sparkSession)
-    vectors = word_vectors(docs)
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("_label")).where(F.col("_id").isNotNull() & F.col("_label").isin(0, 1) & ~held_out(F.col("_id")))
     known = known.groupBy("_id").agg(F.min("_label").alias("_label"))
     some = [known.where(F.col("_label") == label).orderBy(F.xxhash64("_id"), "_id").limit(n) for label, n in zip((1, 0), SAMPLE, strict=True)]
     # at most sum(SAMPLE) rows of 12 bytes
     sample = F.broadcast(some[0].union(some[1]))
     rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("_text")).join(sample, F.col("_doc") == F.col("_id"))
-    got = rows.select("_doc", "_label", "_text").mapInArrow(partial(_pooled, vectors=vectors), "doc_id long, label int, pooled binary").toArrow()
+    counts = rows.select("_text").mapInArrow(_counts, "word long, times long").groupBy("word").agg(F.sum("times").alias("times"))
+    # at most VOCABULARY rows of 8 bytes
+    words = np.sort(counts.orderBy(F.desc("times"), "word").limit(VOCABULARY).select("word").toArrow().column("word").to_numpy().view(np.uint64))
+    vectors = word_vectors(docs, words)
+    got = rows.select("_doc", "_label", "_text").mapInArrow(partial(_pooled, words=words, vectors=vectors), "doc_id long, label int, pooled binary").toArrow()
     ids, good = got.column("doc_id").to_numpy(), got.column("label").to_numpy()
-    x = np.array([np.frombuffer(p, np.float32) for p in got.column("pooled").to_pylist()], np.float64).reshape(len(ids), SIZE + SHAPES + 1)
-    order = np.lexsort((ids, mix(ids.astype(np.uint64))))
-    return fit(x[order], good[order], vectors)
+    x = np.array([np.frombuffer(p) for p in got.column("pooled").to_pylist()], np.float64).reshape(len(ids), WIDTH)
+    order = np.lexsort((good, ids, mix(ids.astype(np.uint64))))
+    return fit(x[order], good[order], words, vectors)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -182,24 +182,40 @@ def test_toxicity(spark, edge, empty, frame):
     assert kept.columns == docs.columns and all(r.doc_id % 4 for r in kept.collect())
 
 
-def test_counterfactual_swaps_even_out_identity_terms():
+def test_swaps_are_made_in_sentences():
+    text = "All Women sing, women dance. The men rest!\nWomenfolk say nothing; black-haired muslim"
+    got = list(toxicity.swaps(text.encode()))
+    assert (b"all women sing, women dance", b"all men sing, men dance") in got and (b" the men rest", b" the girls rest") in got
+    assert not any(b"womenfolk" in after and b"women" not in after for _, after in got)
+    assert sum(before == b"all women sing, women dance" for before, _ in got) == 3 and list(toxicity.swaps(b"nothing here")) == []
+
+
+def test_counterfactual_swaps_even_out_identity_terms(spark, frame):
+    """Toxic texts name one group more often; held-out neutral mentions of that group must not count as toxic."""
     rng = np.random.Generator(np.random.PCG64(3))
-    groups = toxicity.identity_hashes()
-    women, men = groups[0][0], groups[0][1]
-    bad, other = np.uint64(11), np.uint64(12)
-    texts, toxic = [], []
-    for i in range(600):
-        y = i % 2
-        words = {int(bad)} if y else {int(other)}
-        if rng.random() < (0.6 if y else 0.1):
-            words.add(int(women))
-        texts.append(np.array(sorted(words), np.uint64))
-        toxic.append(y)
-    model = toxicity.fit(texts, np.array(toxic))
+    plain = ["the band plays", "we went home early", "rain fell all day", "bread is cheap here", "a new bridge opens"]
+    rows, marks = [], []
+    for i in range(900):
+        bad = i % 2
+        who = "muslims" if rng.random() < (0.75 if bad else 0.08) else str(rng.choice(["christians", "jews", "hindus", "people"]))
+        insult = " ".join(rng.choice(["idiots", "scum", "vermin"], 2)) if bad and rng.random() < 0.8 else str(rng.choice(plain))
+        rows.append((i, f"{rng.choice(plain)}. The {who} meet today. {insult}! {rng.choice(plain)}."))
+        marks.append((i, 1, bad, "x"))
+    neutral = [(2000 + i, f"The muslims meet today. {rng.choice(plain)}. {rng.choice(plain)}.") for i in range(60)]
+    toxic = [(3000 + i, f"The {who} meet today. idiots scum! {plain[i % 5]}.") for i, who in enumerate(["christians", "jews", "people"] * 10)]
+    docs, known = frame(rows), labels(spark, marks)
+    without, model = toxicity.train(docs, known, penalty=0.0), toxicity.train(docs, known)
+
+    def scores(m, rows):
+        return [m.score(words) for _, words in toxicity._words([t.encode() for _, t in rows])]
+
+    assert np.mean(scores(without, neutral)) > np.mean(scores(model, neutral)) + 0.1
+    assert np.mean(np.array(scores(without, neutral)) >= 0.5) > 0.5 and max(scores(model, neutral)) < 0.5
+    assert min(scores(model, toxic)) > 0.5
+    hashes = np.concatenate([h for _, h in toxicity._words([t.encode() for t in toxicity.IDENTITY_TERMS[3]])])
     weight = dict(zip(model.words.tolist(), model.weights.tolist(), strict=True))
-    assert abs(weight[int(women)] - weight[int(men)]) < 0.1 * weight[int(bad)]
-    neutral = model.score(np.array(sorted([int(other), int(women)]), np.uint64))
-    assert neutral < 0.2
+    some = [weight[int(h)] for h in hashes if int(h) in weight]
+    assert len(some) >= 4 and max(some) - min(some) < 0.1
 
 
 def test_token_counts(spark, edge, empty):
@@ -304,6 +320,35 @@ def test_quality(spark, edge, empty, frame):
     assert len({r.score for r in quality.score_quality(frame(rows), known.limit(0)).collect()}) == 1
 
 
+def test_quality_comes_from_the_vectors(spark, frame):
+    """With all vectors zero every text has one score; with them junk and prose are apart."""
+    rng = np.random.Generator(np.random.PCG64(5))
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "ru", "sen") for b in ("ta", "ne", "vol", "pri", "dus", "on")]
+    prose = lambda: " ".join(rng.choice(words, 30)) + "."
+    rows = [(i, prose() if i % 2 else (" | ".join(rng.choice(words, 30)) if i % 4 else " ".join([str(rng.choice(words))] * 30))) for i in range(400)]
+    texts = [t.encode() for _, t in rows]
+    model = quality.train(frame(rows), labels(spark, [(i, i % 2, 0, "x") for i in range(400)]))
+    scores = model.probabilities(quality.pool(texts, model.words, model.vectors))
+    assert np.mean((scores >= 0.5) == np.arange(400) % 2) > 0.97
+    zero = quality.Model(model.words, model.vectors * 0, *[getattr(model, k) for k in ("mean", "scale", "first", "first_bias", "second", "second_bias", "temperature")])
+    every = np.unique(np.concatenate([h for _, _, h in quality._documents(texts)]))
+    blind = quality.pool(texts, every, np.zeros((len(every), quality.SIZE), np.float32))
+    assert len({tuple(x) for x in blind}) == 1 and len(set(zero.probabilities(blind).tolist())) == 1
+    assert len(set(model.words.tolist())) == len(model.words)  # no two words share a vector's place
+
+
+def test_temperature_calibrates():
+    rng = np.random.Generator(np.random.PCG64(9))
+    true = rng.normal(0, 2, 20_000)
+    good = rng.random(20_000) < 1 / (1 + np.exp(-true))
+    assert abs(quality.best_temperature(3 * true, good) - 3) < 0.3 and abs(quality.best_temperature(true / 2, good) - 0.5) < 0.06
+    t = quality.best_temperature(3 * true, good)
+    p = 1 / (1 + np.exp(-3 * true / t))
+    for low in np.arange(0, 1, 0.1):
+        some = (p >= low) & (p < low + 0.1)
+        assert abs(p[some].mean() - good[some].mean()) < 0.04
+
+
 def test_mixing(spark, edge, empty, frame):
     assert mixing.mix_sources(empty).count() == 0 and mixing.emit_mix(empty).count() == 0
     assert len(mixing.mix_sources(edge).collect()) == 10
