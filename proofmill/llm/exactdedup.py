@@ -1,8 +1,8 @@
 """Exact duplicates by a content sort (DataFrame operations only).
 
-Sampled splitters range-partition the normalised texts, an external sort places equal texts side by side, and a full
-comparison of neighbours finds the runs. Groups that would fill one task are found beforehand by counting hashes; they
-are dealt over several ranges by a salt, and their partial results are joined by digest.
+Sampled splitters range-partition the normalised texts, an external sort by their bytes places equal texts side by
+side, and a full comparison of neighbours finds the runs. Groups that would fill much of a task are found beforehand by
+counting hashes; each is dealt by a salt into as many parts as it needs, and their results are joined by digest.
 """
 
 from __future__ import annotations
@@ -11,14 +11,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofmill.llm.common import WS, text_or_empty
-from proofmill.session import stored
+from proofmill.session import partitions, stored
 
-#: So many of the largest groups are salted: a group left whole has at most 1/HOT of all rows.
-HOT = 1024
-#: Groups below this size are never salted.
-HOT_ROWS = 64
-SALTS = 64
-#: Leading characters by which texts are sorted first; the splitters hold no more of a text than this.
+#: A group of over 1/PART of an average task's rows, and of HOT_ROWS at least, is dealt into parts of that size.
+PART, HOT_ROWS = 4, 64
+#: Leading characters that say in which range a text lies; the splitters hold no more of a text than this.
 HEAD = 24
 
 
@@ -31,20 +28,22 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     norm = F.regexp_replace(text_or_empty(text_col), f"{WS}+", " ")
     base = docs.select(F.col(id_col).alias("_id"), norm.alias("_norm")).withColumn("_key", F.xxhash64("_norm"))
-    hot = base.groupBy("_key").agg(F.count("*").alias("_n")).where(F.col("_n") >= HOT_ROWS).orderBy(F.desc("_n"), "_key").limit(HOT)
-    # HOT rows of 16 bytes at most: a broadcast of fixed size
-    hot = stored(hot.select(F.col("_key").alias("_hot")), "hot-keys")
+    # so at most PART groups for each task are dealt: PART * tasks rows of 12 bytes to broadcast, however many the documents
+    part = max(HOT_ROWS, docs.count() // (PART * partitions(docs.sparkSession)))
+    hot = base.groupBy("_key").agg(F.count("*").alias("_n")).where(F.col("_n") > part)
+    hot = stored(hot.select(F.col("_key").alias("_hot"), F.ceil(F.col("_n") / part).cast("int").alias("_parts")), "hot-keys")
     dealt = base.join(F.broadcast(hot), F.col("_key") == F.col("_hot"), "left").select(
-        "_id", "_norm", "_key", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")).alias("_salt"), F.substring("_norm", 1, HEAD).alias("_head")
+        "_id", "_norm", "_key", F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int").alias("_salt"), F.substring("_norm", 1, HEAD).alias("_head")
     )
     order = ["_head", "_key", "_salt"]
-    run = Window.partitionBy(*order, "_norm").orderBy(F.col("_id").asc_nulls_last())
+    # the sort within a range is by the whole bytes first
+    run = Window.partitionBy("_norm", *order).orderBy(F.col("_id").asc_nulls_last())
     whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     runs = dealt.repartitionByRange(*order).select(
         "_id", "_salt", F.sha2(F.col("_norm").cast("binary"), 256).alias("_sha"), F.min("_id").over(whole).alias("_first"), F.count("*").over(whole).alias("_size"), F.row_number().over(run).alias("_row")
     )
     runs = stored(runs, "content-runs")
-    # salted groups: one row for each salt, HOT * SALTS rows before the sum and HOT after it
+    # one row for each part of a dealt group, 2 * PART for a task at most, and one for each group after the sum
     salted = runs.where(F.col("_salt").isNotNull() & (F.col("_row") == 1)).groupBy(F.col("_sha").alias("_hot_sha")).agg(F.min("_first").alias("_hot_first"), F.sum("_size").alias("_hot_size"))
     joined = runs.join(F.broadcast(salted), F.col("_salt").isNotNull() & (F.col("_sha") == F.col("_hot_sha")), "left")
     keep = F.when(F.col("_hot_sha").isNull(), F.col("_first")).otherwise(F.col("_hot_first"))
