@@ -17,16 +17,23 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2.0
 SEED = "mix-1"
-#: Cells of a source: CLASSES size classes of CLASS_WORDS words each, the last without an end, by PARTS parts of the ids.
-CLASS_WORDS, CLASSES, PARTS = 64, 512, 64
+#: Cells of a source: CLASSES size classes of CLASS_WORDS words each, the last without an end, by PARTS parts of the ids,
+#: by RANGES ranges of the ids. However ids are dealt, at most CLASSES * PARTS * (RANGES + 1) cells of a source are ranked.
+CLASS_WORDS, CLASSES, PARTS, RANGES = 64, 512, 64, 32
 
 
 def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """Id, source, size and cell of each row, and a key of its content, as a table: texts are read once."""
     size = word_count(text_or_empty(text_col))
-    return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(source_col).cast("string").alias("_source"), size.alias("_size")).select(
+    key = F.xxhash64(F.col(id_col).cast("long"), F.col(source_col).cast("string"), F.col(text_col).cast("string"))
+    rows = stored(docs.select(F.col(id_col).cast("long").alias("_id"), F.col(source_col).cast("string").alias("_source"), size.alias("_size"), key.alias("_key")), "mix-sizes")
+    low, high = rows.agg(F.min("_id"), F.max("_id")).head()
+    width = ((high or 0) - (low or 0)) // RANGES + 1
+    return rows.select(
         "*",
         F.least(F.floor(F.col("_size") / CLASS_WORDS), F.lit(CLASSES - 1)).cast("int").alias("_class"),
         F.coalesce(F.pmod("_id", F.lit(PARTS)), F.lit(0)).cast("int").alias("_part"),
+        F.coalesce(F.call_function("div", F.col("_id") - F.lit(low or 0), F.lit(width)), F.lit(RANGES)).cast("int").alias("_range"),
     )
 
 
@@ -61,21 +68,22 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 
 
 def _copies(sized: DataFrame, seed: str) -> DataFrame:
-    cells = sized.groupBy("_source", "_class", "_part").agg(F.count("*").alias("_rows"), F.sum("_size").alias("_cell_size"))
+    cells = sized.groupBy("_source", "_class", "_part", "_range").agg(F.count("*").alias("_rows"), F.sum("_size").alias("_cell_size"))
     cells = stored(cells, "mix-cells")
     targets = source_targets(cells)
-    # at most CLASSES * PARTS rows for one source, whatever the number of documents
-    before = Window.partitionBy("_source").orderBy("_class", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    # a bounded number of rows for one source, whatever the number of documents
+    before = Window.partitionBy("_source").orderBy("_class", "_part", "_range").rowsBetween(Window.unboundedPreceding, -1)
     based = cells.withColumn("_base", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
     t = targets.select(F.col("_source").alias("_s"), "_source_size", "_target")
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce("_source", F.lit("\x00"))).cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(float(2**32))
     based = based.join(t, F.col("_source").eqNullSafe(F.col("_s"))).select(
-        F.col("_source").alias("_cs"), F.col("_class").alias("_cc"), F.col("_part").alias("_cp"), "_base", "_source_size", "_target", offset.alias("_offset"),
+        F.col("_source").alias("_cs"), F.col("_class").alias("_cc"), F.col("_part").alias("_cp"), F.col("_range").alias("_cr"), "_base", "_source_size", "_target", offset.alias("_offset"),
         F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0)).alias("_rate"),
     )
-    place = F.row_number().over(Window.partitionBy("_source", "_class", "_part").orderBy(F.col("_id").asc_nulls_last(), "_size"))
+    place = F.row_number().over(Window.partitionBy("_source", "_class", "_part", "_range").orderBy(F.col("_id").asc_nulls_last(), "_size", "_key"))
     ranked = sized.withColumn("_place", place)
-    ranked = ranked.join(based, F.col("_source").eqNullSafe(F.col("_cs")) & (F.col("_class") == F.col("_cc")) & (F.col("_part") == F.col("_cp")))
+    same = F.col("_source").eqNullSafe(F.col("_cs")) & (F.col("_class") == F.col("_cc")) & (F.col("_part") == F.col("_cp")) & (F.col("_range") == F.col("_cr"))
+    ranked = ranked.join(based, same)
     end = F.col("_base") + F.col("_place")
     crossed = F.floor(end * F.col("_rate") + F.col("_offset")) - F.floor((end - 1) * F.col("_rate") + F.col("_offset"))
     return ranked.withColumn("_copies", crossed.cast("long"))
@@ -98,12 +106,14 @@ def mix_sources(docs: DataFrame, seed: str = SEED, id_col: str = "doc_id", text_
 def emit_mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The mixed rows themselves, each document as often as the mix takes it, with the columns of ``docs``.
 
-    Rows that repeat a doc_id share that id's copies evenly: the counts are summed per id and dealt to its rows.
+    Rows of one id, source and text share their copies evenly; null ids are told apart by source and text. Rows that the
+    mix does not take, and all where there are no words, give none. An empty table gives no rows.
     """
-    taken = mix_sources(docs, seed).groupBy(F.col("doc_id").alias("_taken")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_order"), F.struct("*").alias("_doc"))
-    joined = rows.join(taken, F.col("_id").eqNullSafe(F.col("_taken")))
-    nth = F.row_number().over(Window.partitionBy("_taken").orderBy("_order"))
+    taken = _copies(_sizes(docs, "doc_id", "text", "source"), seed).groupBy(F.col("_key").alias("_taken")).agg(F.sum("_copies").alias("_copies"), F.count("*").alias("_rows"))
+    rows = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")).alias("_key"), F.struct("*").alias("_doc"))
+    # one key for the join and the window: whole rows are shuffled once
+    joined = rows.join(taken.where("_copies > 0"), F.col("_key") == F.col("_taken"))
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy("_rows"))
     times = F.floor(F.col("_copies") / F.col("_rows")) + F.when(nth <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)
     return joined.select("_doc", times.cast("int").alias("_times")).where(F.col("_times") > 0).select("_doc", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_doc.*")
 
