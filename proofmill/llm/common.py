@@ -37,6 +37,15 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))
 
 
+#: Rows of ids and keys, of some 24 bytes each, that are broadcast at most.
+BROADCAST_ROWS = 1 << 20
+
+
+def beside(marks: DataFrame) -> DataFrame:
+    """A table of ids and keys as a join's side: broadcast up to BROADCAST_ROWS rows, shuffled beyond."""
+    return F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_DOCS))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofmill.llm.common import gram_sets, mix, raw, small_batches, text_or_empty
+from proofmill.llm.common import beside, gram_sets, mix, raw, small_batches, text_or_empty
 from proofmill.session import partitions, stored
 
 WORDS = 5
@@ -575,9 +575,13 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One row of each component of ``jaccard_classes``, the one with the smallest doc_id, with the columns of ``docs``.
 
     Of rows that repeat both id and text one stays. Rows without words are linked with nothing and stay; so do rows
-    with a null id whose component has no other id.
+    with a null id whose component has no other id. An empty table gives no rows.
     """
-    kept = jaccard_classes(docs, count_links=False).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"), F.col("text_key").alias("_kept_key")).distinct()
+    classes = jaccard_classes(docs, count_links=False).groupBy(F.col("doc_id").alias("_mark_id"), F.col("text_key").alias("_mark_key"))
+    marks = classes.agg(F.bool_and(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_stays"), F.count("*").alias("_times"))
+    # only what goes, and what repeats, is joined with the rows: whole texts are not shuffled for it
+    marks = stored(marks.where("not _stays or _times > 1").select("_mark_id", "_mark_key", "_stays"), "marks")
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text_or_empty()).alias("_key"), F.struct("*").alias("_doc"))
-    same = F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_key") == F.col("_kept_key"))
-    return rows.join(kept, same, "left_semi").dropDuplicates(["_id", "_key"]).select("_doc.*")
+    marked = rows.join(beside(marks), F.col("_id").eqNullSafe(F.col("_mark_id")) & (F.col("_key") == F.col("_mark_key")), "left")
+    once = marked.where("_stays").dropDuplicates(["_id", "_key"])
+    return marked.where("_stays is null").select("_doc.*").union(once.select("_doc.*"))
