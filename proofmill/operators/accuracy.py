@@ -34,11 +34,17 @@ def exact_mean(cases: DataFrame, by: list[str], num: str, den: str) -> DataFrame
 
 
 def paired(left: DataFrame, right: DataFrame, key: str, outcome: str) -> DataFrame:
-    """Outcomes of two arms by case. A case that one arm lacks has a null there: see ``paired_counts``."""
-    a = left.select(F.col(key).alias(key), F.col(outcome).alias("left_outcome"), F.lit(True).alias("in_left"))
-    b = right.select(F.col(key).alias("_k"), F.col(outcome).alias("right_outcome"), F.lit(True).alias("in_right"))
-    joined = a.join(b, a[key].eqNullSafe(b["_k"]), "full_outer")
-    return joined.select(F.coalesce(key, "_k").alias(key), "left_outcome", "right_outcome", F.coalesce("in_left", F.lit(False)).alias("in_left"), F.coalesce("in_right", F.lit(False)).alias("in_right"))
+    """Outcomes of two arms by case. A case that one arm lacks has a null there: see ``paired_counts``.
+
+    A case that an arm has more than once is in no arm, and null keys meet nothing, so neither is passed off as a pair.
+    """
+    side = lambda rows, name: rows.groupBy(F.col(key).alias(f"_{name}")).agg(F.first(outcome).alias(f"{name}_outcome"), (F.count("*") == 1).alias(f"_once_{name}"))
+    joined = side(left, "left").join(side(right, "right"), F.col("_left") == F.col("_right"), "full_outer")
+    once = lambda name: F.coalesce(F.col(f"_once_{name}"), F.lit(False))
+    return joined.select(
+        F.coalesce("_left", "_right").alias(key), F.when(once("left"), F.col("left_outcome")).alias("left_outcome"), F.when(once("right"), F.col("right_outcome")).alias("right_outcome"),
+        once("left").alias("in_left"), once("right").alias("in_right"),
+    )
 
 
 def paired_counts(pairs: DataFrame, by: list[str]) -> DataFrame:
@@ -50,14 +56,67 @@ def paired_counts(pairs: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def pair_reason() -> Column:
+    """Why a row of ``paired_counts`` gives no statistics; null if it does."""
+    judged = F.col("both") + F.col("left_only") + F.col("right_only") + F.col("neither")
+    return F.when(~F.col("same_cases"), "case_sets_differ").when(F.col("unjudged") > 0, "unjudged_cases").when(judged == 0, "no_cases")
+
+
 def pair_statistics(counts: DataFrame) -> DataFrame:
-    """Exact delta and exact McNemar probability beside a table of ``paired_counts``: a few rows, one per pair."""
+    """Exact delta and exact McNemar probability beside a table of ``paired_counts``: a few rows, one per pair.
+
+    Both are null, with a ``reason``, unless the arms have one identical, fully judged set of cases.
+    """
     n = F.col("both") + F.col("left_only") + F.col("right_only") + F.col("neither")
-    delta = signed_delta(F.col("both") + F.col("left_only"), n, F.col("both") + F.col("right_only"), n)
-    p = mcnemar_exact("left_only", "right_only")
-    return counts.withColumn("delta", delta).withColumn("_p", p).select(
-        *counts.columns, F.col("delta.num").alias("delta_num"), F.col("delta.den").alias("delta_den"), F.col("_p.numerator").alias("p_num"), F.col("_p.denominator").alias("p_den"), F.col("_p.display").alias("p_display")
-    )
+    reason = pair_reason()
+    delta = F.when(reason.isNull(), signed_delta(F.col("both") + F.col("left_only"), n, F.col("both") + F.col("right_only"), n))
+    whole = F.col("reason").isNull()
+    known = counts.withColumn("reason", reason).withColumn("delta", delta).withColumn("_p", mcnemar_exact("left_only", "right_only"))
+    return known.select(
+        *counts.columns, "reason", F.col("delta.num").alias("delta_num"), F.col("delta.den").alias("delta_den"),
+        *[F.when(whole, F.col(f"_p.{part}")).alias(name) for part, name in (("numerator", "p_num"), ("denominator", "p_den"), ("display", "p_display"))],
+    )
+
+
+#: What a pair of cells lacks for a comparison, in the order in which it is said.
+PAIR_CHECKS = ("revision", "metric", "judged_coverage", "terminal_coverage", "denominator")
+
+
+def pair_comparability(pairs: DataFrame) -> DataFrame:
+    """``limitations`` and ``comparable`` beside pairs of cells, whose columns are those of a cell after left_ and right_:
+    revision (null unless a cell has exactly one), metric, cases, completed, judged and denominator."""
+    both = lambda f: f("left") & f("right")
+    checks = dict(zip(PAIR_CHECKS, (
+        F.col("left_revision") == F.col("right_revision"), F.col("left_metric") == F.col("right_metric"),
+        both(lambda s: F.col(f"{s}_judged") == F.col(f"{s}_cases")), both(lambda s: F.col(f"{s}_completed") == F.col(f"{s}_cases")), both(lambda s: F.col(f"{s}_denominator") > 0),
+    ), strict=True))
+    return pairs.withColumn("limitations", limitations(checks)).withColumn("comparable", F.size("limitations") == 0)
+
+
+def report_leader(cells: DataFrame, pairs: DataFrame, by: list[str], name: str, num: str, den: str, complete: str) -> DataFrame:
+    """Per report: the arm of the one highest exact score if it also leads each of its pairs, else what failed.
+
+    ``cells`` has a row per arm, ``pairs`` one per pair with left_{name}, right_{name} and leader (an arm or null). The
+    predicates are, in order, complete_equal_coverage, unique_highest_accuracy and all_pairwise_thresholds. Scores are
+    compared by cross products, so no rounding decides.
+    """
+    other = cells.select(*[F.col(c).alias(f"_{c}") for c in by], F.col(name).alias("_name"), F.col(num).alias("_num"), F.col(den).alias("_den"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    wide = "decimal(38,0)"
+    mine, theirs = F.col(num).cast(wide) * F.col("_den").cast("decimal(19,0)"), F.col("_num").cast(wide) * F.col(den).cast("decimal(19,0)")
+    against = cells.join(other, [*same, F.col(name) != F.col("_name")], "left").groupBy(*by, name, complete).agg(F.bool_and(F.coalesce(mine > theirs, F.col("_name").isNull())).alias("_top"), F.count("_name").alias("_others"))
+    won = pairs.select(*by, F.explode(F.array(f"left_{name}", f"right_{name}")).alias(name), "leader").groupBy(*by, name).agg(F.count_if(F.col("leader") == F.col(name)).alias("_won"))
+    won = won.select(*[F.col(c).alias(f"_{c}") for c in by], F.col(name).alias("_name"), "_won")
+    each = against.join(won, [*same, F.col(name) == F.col("_name")], "left").withColumn("_clears", F.coalesce("_won", F.lit(0)) == F.col("_others"))
+    found = each.groupBy(*by).agg(F.bool_and(F.coalesce(complete, F.lit(False))).alias("_complete"), F.max(F.when(F.col("_top"), F.col(name))).alias("_highest"), F.max(F.when(F.col("_top"), F.col("_clears"))).alias("_clears"))
+    failed = F.when(~F.col("_complete"), "complete_equal_coverage").when(F.col("_highest").isNull(), "unique_highest_accuracy").when(~F.col("_clears"), "all_pairwise_thresholds")
+    return found.select(*by, F.when(failed.isNull(), F.col("_highest")).alias("leader"), F.coalesce(failed, F.lit("")).alias("failed_predicate"))
+
+
+def ratio_gate(before: Column, after: Column, size_before: Column, size_after: Column, most: float) -> Column:
+    """Whether time grew by at most ``most`` times what the size grew; null sizes or times fail, zero ones too."""
+    known = (before > 0) & (size_before > 0) & (after >= 0) & (size_after > 0)
+    return F.coalesce(known & (after * size_before <= F.lit(most) * before * size_after), F.lit(False))
 
 
 def arm_pairs(arms: DataFrame, ordinal: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from proofmill.session import stored
+
 
 def duplicate_keys(rows: DataFrame, key: list[str]) -> DataFrame:
     """Keys that more than one row has: the guard of every join that takes one row per key."""
@@ -63,14 +65,24 @@ def retry_chains(attempts: DataFrame, attempt: str, predecessor: str, longest: i
     return state.select(attempt, "root", "depth", F.col("_next").isNull().alias("closed"))
 
 
-def recursive_chains(attempts_view: str, attempt: str, predecessor: str) -> str:
-    """SQL for chains of any length: the root and depth of each attempt."""
-    return f"""
-    WITH RECURSIVE chain AS (
-      SELECT {attempt}, {attempt} AS root, 1 AS depth FROM {attempts_view} WHERE {predecessor} IS NULL
-      UNION ALL
-      SELECT a.{attempt}, c.root, c.depth + 1 FROM {attempts_view} a JOIN chain c ON a.{predecessor} = c.{attempt}
-    ) SELECT * FROM chain"""
+def recursive_chains(attempts: DataFrame, attempt: str, predecessor: str) -> DataFrame:
+    """attempt, root and depth for chains of any length, by pointer doubling: a chain of n attempts takes log2(n) joins.
+
+    An attempt whose predecessor is unknown is a root that says so: ``root`` is that predecessor. A chain that closes
+    in a ring has no root and is left out.
+    """
+    kind = dict(attempts.dtypes)[attempt]
+    known = attempts.select(F.col(attempt).alias("_id"), F.col(predecessor).alias("_up"))
+    state = stored(known.select("_id", "_up", F.col("_id").alias("_top"), F.lit(1).alias("_depth")), "chains")
+    rows, rounds = state.count(), 0
+    while state.where("_up is not null").limit(1).count() and (1 << rounds) <= 2 * rows:
+        above = state.select(F.col("_id").alias("_a"), F.col("_up").alias("_next"), F.col("_top").alias("_over"), F.col("_depth").alias("_more"))
+        joined = state.join(above, F.col("_up") == F.col("_a"), "left")
+        lost = F.col("_up").isNotNull() & F.col("_a").isNull()
+        top = F.when(F.col("_up").isNull(), F.col("_top")).when(lost, F.col("_up")).otherwise(F.col("_over"))
+        state = stored(joined.select("_id", F.col("_next").alias("_up"), top.alias("_top"), (F.col("_depth") + F.coalesce("_more", F.lit(0))).alias("_depth")), "chains")
+        rounds += 1
+    return state.where("_up is null").select(F.col("_id").cast(kind).alias(attempt), F.col("_top").alias("root"), F.col("_depth").alias("depth"))
 
 
 def in_intervals(points: DataFrame, spans: DataFrame, by: list[str], point: str, start: str, end: str, label: str, default: str) -> DataFrame:
@@ -106,11 +118,14 @@ def interleave(facts: DataFrame, chunks: DataFrame, by: list[str], rank: str, re
 
 
 def field_mismatches(left: DataFrame, right: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """Keys of the left that the right lacks or whose fields differ, nulls being equal to nulls."""
-    r = right.select(F.col(key).alias("_k"), *[F.col(f).alias(f"_r_{f}") for f in fields])
-    joined = left.join(r, F.col(key) == F.col("_k"), "left")
+    """Keys whose fields differ, nulls being equal to nulls; ``missing`` marks keys that the right lacks, ``extra`` those
+    that only the right has."""
+    a = left.select(key, *fields, F.lit(True).alias("_left"))
+    b = right.select(F.col(key).alias("_k"), *[F.col(f).alias(f"_r_{f}") for f in fields], F.lit(True).alias("_right"))
+    joined = a.join(b, F.col(key) == F.col("_k"), "full_outer")
     differing = F.array_compact(F.array(*[F.when(~F.col(f).eqNullSafe(F.col(f"_r_{f}")), F.lit(f)) for f in fields]))
-    return joined.select(key, F.when(F.col("_k").isNull(), F.array(F.lit("missing"))).otherwise(differing).alias("differing")).where(F.size("differing") > 0)
+    found = F.when(F.col("_right").isNull(), F.array(F.lit("missing"))).when(F.col("_left").isNull(), F.array(F.lit("extra"))).otherwise(differing)
+    return joined.select(F.coalesce(key, "_k").alias(key), found.alias("differing")).where(F.size("differing") > 0)
 
 
 def quote_provenance(quotes: DataFrame, messages: DataFrame, by: list[str], quote: str, text: str) -> DataFrame:

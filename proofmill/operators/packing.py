@@ -1,11 +1,17 @@
-"""Greedy packing. A batch starts anew where a limit is passed, so no running total over the whole group can tell it."""
+"""Greedy packing. A batch starts anew where a limit is passed, so no running total over the whole group can tell it.
+
+Both folds run over a hash-partitioned, sorted stream of Arrow batches; what they carry from one batch to the next is the
+group, the batch's number and how full it is, so no group is held in memory. Null groups are one group.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def split_bytes(text: str, limit: int) -> list[str]:
@@ -22,56 +28,100 @@ def split_bytes(text: str, limit: int) -> list[str]:
     return pieces
 
 
+class _Fill:
+    """How a group's open batch is filled; batches are found by search in the prefix sums of sizes."""
+
+    def __init__(self, most: int | None, limit: int, gap: int = 0) -> None:
+        self.most, self.limit, self.gap = most, limit, gap
+        self.begin()
+
+    def begin(self) -> None:
+        self.batch, self.count, self.size = 0, 0, 0
+
+    def place(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(batch, place in it) of the group's next pieces, of these sizes."""
+        ends = np.concatenate([[0], np.cumsum(sizes + self.gap)])
+        batch, place = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
+        at = 0
+        while at < len(sizes):
+            fits = int(np.searchsorted(ends, ends[at] + self.limit + self.gap - self.size, side="right")) - 1
+            stop = min(fits, len(sizes), at + self.most - self.count if self.most else len(sizes))
+            stop = max(stop, at + (self.count == 0))  # an empty batch takes one piece whatever its size
+            batch[at:stop], place[at:stop] = self.batch, self.count + np.arange(stop - at)
+            self.count, self.size = self.count + stop - at, self.size + int(ends[stop] - ends[at])
+            if stop < len(sizes):
+                self.batch, self.count, self.size = self.batch + 1, 0, 0
+            at = stop
+        return batch, place
+
+
+def _runs(groups: list) -> Iterator[tuple[int, int]]:
+    """Where runs of one group begin and end."""
+    start = 0
+    for i in range(1, len(groups) + 1):
+        if i == len(groups) or groups[i] != groups[start]:
+            yield start, i
+            start = i
+
+
+def _sorted(messages: DataFrame, group: str, order: str, text: Column) -> DataFrame:
+    return messages.select(F.col(group).alias("g"), F.col(order).alias("o"), text.alias("t")).repartition("g").sortWithinPartitions("g", "o")
+
+
 def pack_messages(messages: DataFrame, group: str, order: str, text: str, max_messages: int, max_bytes: int) -> DataFrame:
     """(group, batch, place, order, piece, bytes): messages in batches of at most so many pieces and bytes.
 
-    A message over the byte limit is split between characters first. Groups are hash-partitioned and sorted; the fold
-    runs over the sorted stream, so no group is held in memory.
+    A message over the byte limit is split between characters first. A null or empty message is an error.
     """
-    if max_messages < 1 or max_bytes < 4:
-        raise ValueError("limits too small for a character")
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, batch, count, size = object(), 0, 0, 0
-        for frame in frames:
-            rows = []
-            for g, o, t in zip(frame[group], frame[order], frame[text], strict=True):
-                if g != current:
-                    current, batch, count, size = g, 0, 0, 0
-                for piece in split_bytes(t or "", max_bytes):
-                    width = len(piece.encode())
-                    if count and (count == max_messages or size + width > max_bytes):
-                        batch, count, size = batch + 1, 0, 0
-                    rows.append((g, batch, count, o, piece, width))
-                    count, size = count + 1, size + width
-            yield pd.DataFrame(rows, columns=["g", "batch", "place", "o", "piece", "bytes"])
-
+    if max_messages <= 0:
+        raise ValueError("a batch needs room for a message")
+    if max_bytes < len("\U0010ffff".encode()):
+        raise ValueError("a batch needs room for any character")
     kinds = dict(messages.dtypes)
-    placed = messages.select(group, order, text).repartition(group).sortWithinPartitions(group, order)
-    return placed.mapInPandas(fold, f"g {kinds[group]}, batch long, place long, o {kinds[order]}, piece string, bytes long").withColumnsRenamed({"g": group, "o": order})
+    schema = f"g {kinds[group]}, batch long, place long, o {kinds[order]}, piece string, bytes long"
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fill, current = _Fill(max_messages, max_bytes), object()
+        for rows in batches:
+            groups = rows.column(0).to_pylist()
+            pieces = [split_bytes(t, max_bytes) for t in rows.column(2).to_pylist()]
+            number, place, width = [], [], []
+            for a, b in _runs(groups):
+                if groups[a] != current:
+                    current = groups[a]
+                    fill.begin()
+                sizes = np.array([len(p.encode()) for x in pieces[a:b] for p in x], np.int64)
+                found = fill.place(sizes)
+                number.append(found[0])
+                place.append(found[1])
+                width.append(sizes)
+            source = pa.array(np.repeat(np.arange(len(groups)), [len(x) for x in pieces]))
+            none = np.zeros(0, np.int64)
+            columns = [pa.array(np.concatenate([none, *x])) for x in (number, place, width)]
+            flat = pa.array([p for x in pieces for p in x], pa.string())
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(source), columns[0], columns[1], rows.column(1).take(source), flat, columns[2]], names=["g", "batch", "place", "o", "piece", "bytes"])
+
+    checked = F.when(F.length(text) > 0, F.col(text)).otherwise(F.raise_error(F.lit("a message is empty")))
+    return _sorted(messages, group, order, checked).mapInArrow(fold, schema).withColumnsRenamed({"g": group, "o": order})
 
 
 def chunk_documents(messages: DataFrame, group: str, order: str, text: str, max_chars: int, separator: str = "\n\n") -> DataFrame:
     """(group, chunk, order, chars): messages joined by a separator into chunks of at most so many characters.
 
-    A chunk has one message at least, however long.
+    A chunk has one message at least, however long; null counts as empty.
     """
+    kinds = dict(messages.dtypes)
 
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, chunk, length = object(), 0, -1
-        for frame in frames:
-            rows = []
-            for g, o, t in zip(frame[group], frame[order], frame[text], strict=True):
-                n = len(t or "")
-                if g != current:
-                    current, chunk, length = g, 0, n
-                elif length + len(separator) + n > max_chars:
-                    chunk, length = chunk + 1, n
-                else:
-                    length += len(separator) + n
-                rows.append((g, chunk, o, n))
-            yield pd.DataFrame(rows, columns=["g", "chunk", "o", "chars"])
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fill, current = _Fill(None, max_chars, len(separator)), object()
+        for rows in batches:
+            groups, sizes, number = rows.column(0).to_pylist(), rows.column(2).to_numpy().astype(np.int64), []
+            for a, b in _runs(groups):
+                if groups[a] != current:
+                    current = groups[a]
+                    fill.begin()
+                number.append(fill.place(sizes[a:b])[0])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.concatenate([np.zeros(0, np.int64), *number])), rows.column(1), pa.array(sizes)], names=["g", "chunk", "o", "chars"])
 
-    kinds = dict(messages.dtypes)
-    placed = messages.select(group, order, text).repartition(group).sortWithinPartitions(group, order)
-    return placed.mapInPandas(fold, f"g {kinds[group]}, chunk long, o {kinds[order]}, chars long").withColumnsRenamed({"g": group, "o": order})
+    chars = F.coalesce(F.length(text), F.lit(0)).cast("long")
+    return _sorted(messages, group, order, chars).mapInArrow(fold, f"g {kinds[group]}, chunk long, o {kinds[order]}, chars long").withColumnsRenamed({"g": group, "o": order})

@@ -6,14 +6,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def stratified_hash_top(rows: DataFrame, stratum: str, key: str, prefix: str, k: int) -> DataFrame:
-    """The first ``k`` of each stratum by SHA-256 of prefix and id, then by id: stable under any order of input.
+def stratified_hash_top(rows: DataFrame, stratum: str, key: str, prefix: str, k: int, separator: str = "\0") -> DataFrame:
+    """The first ``k`` of each stratum by SHA-256 of prefix, separator and id, then by id: stable under any order of input.
 
-    Spark limits each partition to k rows per stratum before the shuffle.
+    A stratum with fewer rows is an error. Spark limits each partition to k rows per stratum before the shuffle, and the
+    check counts the k rows that are left.
     """
-    digest = F.sha2(F.concat(F.lit(prefix), F.col(key).cast("string")).cast("binary"), 256)
+    digest = F.sha2(F.concat(F.lit(prefix + separator), F.col(key).cast("string")).cast("binary"), 256)
     ranked = rows.withColumn("selection_rank", digest).withColumn("place", F.row_number().over(Window.partitionBy(stratum).orderBy("selection_rank", key)))
-    return ranked.where(F.col("place") <= k)
+    first = ranked.where(F.col("place") <= k)
+    few = F.count("*").over(Window.partitionBy(stratum)) < k
+    return first.withColumn("place", F.when(few, F.raise_error(F.lit("a stratum has too few rows")).cast("int")).otherwise(F.col("place")))
+
+
+def manifest_selection(manifest: DataFrame, runtime: DataFrame, requested: DataFrame, key: str, ordinal: str) -> tuple[DataFrame, DataFrame]:
+    """The requested cases in the manifest's order, and what does not close.
+
+    ``manifest`` and ``runtime`` have key and ordinal, ``requested`` key and ``place``. Violations (code, ref):
+    ``duplicate_manifest``, ``duplicate_request``, ``unknown_request``, ``out_of_order`` for a request that stands before
+    one of a smaller ordinal, ``runtime_differs`` for cases that manifest and runtime do not share at one ordinal.
+    """
+    m = manifest.select(F.col(key).alias("_k"), F.col(ordinal).alias("_o"))
+    joined = requested.select(F.col(key).alias("_r"), "place").join(m, F.col("_r") == F.col("_k"), "left")
+    before = F.max("_o").over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1))  # one row per request
+    code = lambda name, rows, ref: rows.select(F.lit(name).alias("code"), F.col(ref).cast("string").alias("ref"))
+    both = m.join(runtime.select(F.col(key).alias("_rk"), F.col(ordinal).alias("_ro")), (F.col("_k") == F.col("_rk")) & (F.col("_o") == F.col("_ro")), "full_outer")
+    found = [
+        code("duplicate_manifest", m.groupBy("_k").count().where("count > 1"), "_k"),
+        code("duplicate_request", requested.groupBy(F.col(key).alias("_r")).count().where("count > 1"), "_r"),
+        code("unknown_request", joined.where("_k is null"), "_r"),
+        code("out_of_order", joined.withColumn("_before", before).where("_o < _before"), "_r"),
+        code("runtime_differs", both.where("_k is null or _rk is null").select(F.coalesce("_k", "_rk").alias("_k")).distinct(), "_k"),
+    ]
+    issues = found[0]
+    for more in found[1:]:
+        issues = issues.unionByName(more)
+    return joined.where("_k is not null").select(F.col("_r").alias(key), F.col("_o").alias(ordinal)), issues
 
 
 def top_candidates(rows: DataFrame, by: list[str], order: list, k: int) -> DataFrame:

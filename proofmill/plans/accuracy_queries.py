@@ -83,7 +83,7 @@ SELECT a.source AS left_source, b.source AS right_source, a.k::BIGINT AS left_k,
   concat_ws(',', CASE WHEN NOT (a.n >= 5 AND b.n >= 5) THEN 'complete_equal_coverage' END, CASE WHEN NOT abs(a.k::DOUBLE / a.n - b.k::DOUBLE / b.n) >= 0.05 THEN 'minimum_accuracy_delta' END) AS limitations
 FROM c a JOIN c b ON a.o < b.o""")
 def provider_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """All pairs of sources with what limits their comparison."""
+    """All pairs of sources with what limits their comparison."""
     c = _labelled(spark, d).groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 1).alias("k"))
     pairs = accuracy.arm_pairs(c, "source")
     rate = lambda side: F.col(f"{side}_k").cast("double") / F.col(f"{side}_n")
@@ -95,7 +95,7 @@ def provider_pairs(spark: SparkSession, d: str) -> DataFrame:
 WITH c AS (SELECT source, count(*) AS n, count_if(quality = 1) AS k FROM labels JOIN documents USING (doc_id) GROUP BY source), r AS (SELECT source, (k::DECIMAL(38,0) / n)::DOUBLE AS s FROM c), b AS (SELECT max(s) AS s FROM r)
 SELECT CASE WHEN count(*) = 1 THEN min(source) END AS leader, count(*) AS tied FROM r WHERE abs(s - (SELECT s FROM b)) < 1e-12""")
 def leader_decision(spark: SparkSession, d: str) -> DataFrame:
-    """The unique source of the highest exact accuracy."""
+    """The unique source of the highest exact accuracy."""
     c = _labelled(spark, d).groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 1).alias("k"))
     return accuracy.leader(c, "source", "k", "n")
 
@@ -133,7 +133,7 @@ def control_comparison(spark: SparkSession, d: str) -> DataFrame:
 WITH c AS (SELECT lang, count_if(quality = 1) AS a, count_if(toxic = 0) AS b FROM labels JOIN documents USING (doc_id) GROUP BY lang)
 SELECT lang, CASE WHEN abs(a - b) <= 5 THEN 'near_parity' WHEN a > b THEN 'left_ahead' ELSE 'right_ahead' END AS decision FROM c""")
 def near_parity(spark: SparkSession, d: str) -> DataFrame:
-    """Decisions by margin."""
+    """Decisions by margin."""
     c = _labelled(spark, d).groupBy("lang").agg(F.count_if(F.col("quality") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b"))
     return c.select("lang", accuracy.near_parity(F.col("a") - F.col("b"), F.lit(5)).alias("decision"))
 
@@ -144,7 +144,7 @@ d AS (SELECT *, (a - b)::DOUBLE / n AS delta FROM c)
 SELECT lang, concat_ws(',', CASE WHEN n < 50 THEN 'complete_equal_coverage' END, CASE WHEN abs(delta) < 0.02 THEN 'minimum_accuracy_delta' END) AS failed_predicates,
        CASE WHEN n < 50 OR abs(delta) < 0.02 OR delta = 0 THEN NULL WHEN delta > 0 THEN 'left' ELSE 'right' END AS leader FROM d""")
 def pair_decision(spark: SparkSession, d: str) -> DataFrame:
-    """Whom a pair favours by coverage and difference; the limit on p is 1 here, so it never fails."""
+    """Whom a pair favours by coverage and difference alone; ``exact_pair_decision`` has the exact probability too."""
     c = _labelled(spark, d).groupBy("lang").agg(F.count_if(F.col("quality") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b"), F.count("*").alias("n"))
     rows = c.withColumn("delta", (F.col("a") - F.col("b")).cast("double") / F.col("n")).withColumn("p", F.lit(1.0)).withColumn("complete", F.col("n") >= 50)
     return accuracy.pair_decision(rows, 0.02, 1.0, "delta", "p", "complete").select("lang", "failed_predicates", "leader")

@@ -12,8 +12,8 @@ from proofmill.plans.registry import query, table
 @query("""
 SELECT lang, doc_id, selection_rank, place FROM (SELECT lang, doc_id, sha256('evidence:' || doc_id) AS selection_rank, row_number() OVER (PARTITION BY lang ORDER BY sha256('evidence:' || doc_id), doc_id) AS place FROM documents) WHERE place <= 5""")
 def hash_stratified_topk(spark: SparkSession, d: str) -> DataFrame:
-    """The first five of each stratum by hash."""
-    return selecting.stratified_hash_top(table(spark, d, "documents"), "lang", "doc_id", "evidence:", 5).select("lang", "doc_id", "selection_rank", "place")
+    """The first five of each stratum by hash."""
+    return selecting.stratified_hash_top(table(spark, d, "documents"), "lang", "doc_id", "evidence:", 5, separator="").select("lang", "doc_id", "selection_rank", "place")
 
 
 @query("SELECT user_id, event_id, place FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS place FROM events) WHERE place <= 3")
@@ -142,7 +142,7 @@ def nest_results(spark: SparkSession, d: str) -> DataFrame:
 WITH RECURSIVE a AS (SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN event_id - 1 END AS pred FROM events), c AS (SELECT event_id, event_id AS root, 1 AS depth FROM a WHERE pred IS NULL UNION ALL SELECT a.event_id, c.root, c.depth + 1 FROM a JOIN c ON a.pred = c.event_id)
 SELECT event_id, CASE WHEN depth <= 3 THEN root ELSE event_id - 2 END AS root, least(depth, 3)::INT AS depth, depth <= 3 AS closed FROM c""")
 def retry_chains(spark: SparkSession, d: str) -> DataFrame:
-    """Roots of retry chains of at most three attempts; longer ones do not close."""
+    """Roots of retry chains of at most three attempts; longer ones do not close."""
     rows = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 4 != 0, F.col("event_id") - 1).alias("pred"))
     return joining.retry_chains(rows, "event_id", "pred")
 
@@ -151,8 +151,8 @@ def retry_chains(spark: SparkSession, d: str) -> DataFrame:
 WITH RECURSIVE a AS (SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN event_id - 1 END AS pred FROM events), c AS (SELECT event_id, event_id AS root, 1 AS depth FROM a WHERE pred IS NULL UNION ALL SELECT a.event_id, c.root, c.depth + 1 FROM a JOIN c ON a.pred = c.event_id) SELECT * FROM c""")
 def recursive_chains(spark: SparkSession, d: str) -> DataFrame:
     """Roots of chains of any length."""
-    table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 7 != 0, F.col("event_id") - 1).alias("pred")).createOrReplaceTempView("proofmill_attempts")
-    return spark.sql(joining.recursive_chains("proofmill_attempts", "event_id", "pred"))
+    rows = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 7 != 0, F.col("event_id") - 1).alias("pred"))
+    return joining.recursive_chains(rows, "event_id", "pred")
 
 
 @query("""
@@ -179,7 +179,7 @@ def evidence_interleave(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o.o_orderkey, ['status'] AS differing FROM orders o WHERE o.o_orderkey % 11 = 0")
 def field_mismatches(spark: SparkSession, d: str) -> DataFrame:
-    """Rows whose fields differ from a sealed copy."""
+    """Rows whose fields differ from a sealed copy."""
     rows = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), "o_totalprice")
     copy = rows.withColumn("status", F.when(F.col("o_orderkey") % 11 == 0, "x").otherwise(F.col("status")))
     return joining.field_mismatches(rows, copy, "o_orderkey", ["status", "o_totalprice"])
@@ -189,7 +189,7 @@ def field_mismatches(spark: SparkSession, d: str) -> DataFrame:
 WITH q AS (SELECT conv_id, turn, substr(text, 3, 25) AS quote FROM conversations WHERE turn % 2 = 0)
 SELECT q.conv_id, q.turn, count(c.text) AS sources, count(c.text) = 1 AS proven FROM q LEFT JOIN conversations c ON q.conv_id = c.conv_id AND contains(c.text, q.quote) GROUP BY ALL""")
 def quote_provenance(spark: SparkSession, d: str) -> DataFrame:
-    """Quotes that exactly one message of the conversation holds."""
+    """Quotes that exactly one message of the conversation holds."""
     messages = table(spark, d, "conversations")
     quotes = messages.where("turn % 2 = 0").select("conv_id", "turn", F.substring("text", 3, 25).alias("quote"))
     return joining.quote_provenance(quotes, messages, ["conv_id"], "quote", "text").select("conv_id", "turn", "sources", "proven")

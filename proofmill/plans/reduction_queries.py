@@ -191,7 +191,7 @@ def rubric_scores(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 SELECT o_orderpriority, count(*) AS total, count_if(o_orderstatus = 'F')::BIGINT AS finished, count_if(o_orderstatus = 'O')::BIGINT AS open, count_if(o_orderstatus = 'P')::BIGINT AS pending, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY 1""")
 def completion_counters(spark: SparkSession, d: str) -> DataFrame:
-    """Conditional counters of a run."""
+    """Conditional counters per group; ``run_counters`` has all of a run."""
     s = F.col("o_orderstatus")
     return table(spark, d, "orders").groupBy("o_orderpriority").agg(
         F.count("*").alias("total"), F.count_if(s == "F").alias("finished"), F.count_if(s == "O").alias("open"), F.count_if(s == "P").alias("pending"), F.count_distinct("o_custkey").alias("customers")

@@ -55,7 +55,7 @@ def stored_hashes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT l_orderkey, l_partkey, l_linenumber FROM lineitem WHERE l_suppkey + l_partkey <> l_orderkey")
 def usage_closure(spark: SparkSession, d: str) -> DataFrame:
-    """Parts that do not add up to their total."""
+    """Parts that do not add up to their total."""
     return coverage.usage_closure(table(spark, d, "lineitem"), "l_suppkey", "l_partkey", "l_orderkey").select("l_orderkey", "l_partkey", "l_linenumber")
 
 
@@ -79,7 +79,7 @@ def ordered_arrays(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'null_required' ELSE 'out_of_range' END AS code FROM orders WHERE (o_orderstatus = 'P' AND o_orderkey % 2 = 0) OR (o_orderstatus = 'F' AND o_orderkey % 9 = 0)")
 def metric_fractions(spark: SparkSession, d: str) -> DataFrame:
-    """Fractions that a state forbids or that are outside 0 to 1."""
+    """Fractions that a state forbids or that are outside 0 to 1: the range rules of I14."""
     rows = table(spark, d, "orders").withColumn("num", F.when((F.col("o_orderstatus") != "P") | (F.col("o_orderkey") % 2 == 0), F.when(F.col("o_orderkey") % 9 == 0, 2).otherwise(1)))
     code = F.when((F.col("o_orderstatus") == "P") & F.col("num").isNotNull(), "null_required").when((F.col("o_orderstatus") == "F") & ~F.col("num").between(0, 1), "out_of_range")
     return rows.withColumn("code", code).where("code is not null").select("o_orderkey", "code")
@@ -87,7 +87,7 @@ def metric_fractions(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id FROM documents WHERE doc_id % 17 = 0 OR contains(text, 'token = ') OR length(text) > 20000")
 def export_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Exported texts with hidden characters, secrets or more than their size; every seventeenth gets a mark."""
+    """Exported texts with hidden characters, secrets or more than their size; every seventeenth gets a mark."""
     rows = table(spark, d, "documents").withColumn("text", F.when(F.col("doc_id") % 17 == 0, F.concat(F.col("text"), F.lit("‮"))).otherwise(F.col("text")))
     bad = rules.bidi_or_control(rows, "text").select("doc_id").union(rules.forbidden(rows, "text", ["token = "]).select("doc_id")).union(rows.where(F.length("text") > 20000).select("doc_id"))
     return bad.distinct()

@@ -11,7 +11,7 @@ from proofmill.plans.registry import query, table
 
 @query("SELECT event_id, (props->>'$.k')::BIGINT AS k, value, CASE WHEN event_id % 3 = 0 THEN NULL ELSE round(value * 100)::DOUBLE END AS cents FROM events")
 def json_props_parse(spark: SparkSession, d: str) -> DataFrame:
-    """Typed values out of JSON text; what is no number is null."""
+    """Typed values out of JSON text; what is no number is null."""
     rows = table(spark, d, "events").withColumn("p", F.from_json("props", "k long"))
     bad = F.when(F.col("event_id") % 3 == 0, "n/a").otherwise(F.round(F.col("value") * 100).cast("long").cast("string"))
     return rows.select("event_id", F.col("p.k").alias("k"), "value", exact.lenient_decimal(bad).cast("double").alias("cents"))
@@ -152,7 +152,7 @@ def templates(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 SELECT l_orderkey, l_partkey, l_linenumber, l_quantity::BIGINT AS input_tokens, (CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_suppkey % 10 END)::DOUBLE AS cached_tokens, CASE WHEN l_linenumber % 3 = 0 THEN 'cached' ELSE '' END AS unavailable FROM lineitem""")
 def usage_normalisation(spark: SparkSession, d: str) -> DataFrame:
-    """Cached tokens from the nested detail, else from the alias, else unavailable."""
+    """Cached tokens from the nested detail, else from the alias, else unavailable."""
     nested = F.when(F.col("l_linenumber") % 3 == 1, F.concat(F.lit('"prompt_tokens_details": {"cached_tokens": '), (F.col("l_suppkey") % 10).cast("string"), F.lit("}, "))).when(
         F.col("l_linenumber") % 3 == 2, F.concat(F.lit('"prompt_cache_hit_tokens": '), (F.col("l_suppkey") % 10).cast("string"), F.lit(", "))
     ).otherwise("")

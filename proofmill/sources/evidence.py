@@ -10,15 +10,18 @@ from pyspark.sql import types as T
 def read_records(spark: SparkSession, path: str, schemas: dict[tuple[str, int], str]) -> dict[tuple[str, int], DataFrame]:
     """A folder of JSON records of many kinds, split by (schema_name, schema_version) and parsed by each kind's schema.
 
-    One record per line or file. Unknown kinds and records that their schema does not parse are under ("", 0).
+    One record per line or file. Unknown kinds and records that their schema does not parse, because a field has another
+    type or the JSON is broken, are under ("", 0).
     """
     raw = spark.read.text(path, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("path"), F.get_json_object("value", "$.schema_name").alias("name"), F.get_json_object("value", "$.schema_version").cast("int").alias("version"))
     found, rest = {}, F.lit(True)
     for (name, version), schema in schemas.items():
         mine = (F.col("name") == name) & (F.col("version") == version)
-        parsed = raw.where(mine).withColumn("r", F.from_json("value", schema, {"mode": "PERMISSIVE"}))
-        found[name, version] = parsed.select("path", "r.*")
-        rest = rest & ~F.coalesce(mine, F.lit(False))
+        columns = [f.name for f in T._parse_datatype_string(schema)] if isinstance(schema, str) else schema.names
+        record = F.from_json("value", f"{schema}, _unparsed string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_unparsed"})
+        whole = F.coalesce(mine & record["_unparsed"].isNull(), F.lit(False))
+        found[name, version] = raw.where(whole).withColumn("r", record).select("path", *[F.col("r").getField(c).alias(c) for c in columns])
+        rest = rest & ~whole
     found["", 0] = raw.where(rest)
     return found
 

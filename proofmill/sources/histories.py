@@ -26,11 +26,14 @@ def checked_text(spark: SparkSession, path: str, sha256: str | None = None) -> D
 
 
 def read_rows(spark: SparkSession, path: str, sha256: str | None = None) -> DataFrame:
-    """Questions with their sessions: one row per element of a top-level array, with a 1-based ordinal.
+    """Questions with their sessions: one row per element of a top-level array, with a 1-based ordinal. A file whose top
+    level is no array is an error.
 
     ``sessions`` is sorted by time and by place; ``violations`` names what is wrong with a row. Answers keep their JSON text.
     """
-    raw = checked_text(spark, path, sha256).select(F.posexplode(F.from_json("value", f"array<{ROW}>")).alias("pos", "r"))
+    text = checked_text(spark, path, sha256)
+    listed = F.when(F.col("value").rlike(r"^\s*\["), F.col("value")).otherwise(F.raise_error(F.lit("the top level is no array")))
+    raw = text.withColumn("value", listed).select(F.posexplode(F.from_json("value", f"array<{ROW}>")).alias("pos", "r"))
     rows = raw.select((F.col("pos") + 1).alias("ordinal"), "r.*")
     n = F.size("haystack_session_ids")
     sessions = F.transform(
@@ -66,7 +69,9 @@ def read_conversations(spark: SparkSession, path: str, sha256: str | None = None
     A chat element is a list of turns, one turn, or a map of plans to batches whose turn groups are lists or turns.
     """
     conv = "struct<conversation_id:string,user_profile:struct<user_info:string>,chat:array<string>,probing_questions:string>"
-    raw = checked_text(spark, path, sha256).select(F.posexplode(F.from_json("value", f"array<{conv}>")).alias("history", "c"))
+    text = checked_text(spark, path, sha256)
+    listed = F.when(F.col("value").rlike(r"^\s*\["), F.col("value")).otherwise(F.raise_error(F.lit("the top level is no array")))
+    raw = text.withColumn("value", listed).select(F.posexplode(F.from_json("value", f"array<{conv}>")).alias("history", "c"))
     parts = raw.select("history", F.col("c.conversation_id").alias("conversation_id"), F.col("c.user_profile.user_info").alias("user_info"), F.posexplode("c.chat").alias("part", "x"))
     batch = "struct<time_anchor:string,turns:array<string>>"
     plans = F.from_json("x", f"map<string,array<{batch}>>")

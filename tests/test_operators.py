@@ -165,30 +165,45 @@ def test_retry_chains(spark):
     assert got == {1: (1, 1, True), 2: (1, 2, True), 3: (1, 3, True), 4: (2, 3, False)}
 
 
-def _pack(messages, most, limit):
-    """Plain greedy packing."""
-    out, n, size, batch = [], 0, 0, 0
-    for order, message in messages:
-        pieces, start, length = [], 0, 0
-        for i, ch in enumerate(message):
-            if length + len(ch.encode()) > limit:
-                pieces.append(message[start:i])
-                start, length = i, 0
-            length += len(ch.encode())
-        for piece in [*pieces, message[start:]]:
-            width = len(piece.encode())
-            if n and (n == most or size + width > limit):
-                batch, n, size = batch + 1, 0, 0
-            out.append((batch, order, piece))
-            n, size = n + 1, size + width
-    return out
-
-
-def test_packing_splits_between_characters(spark):
-    texts = ["aé", "日本語のテキスト", "x" * 11, "", "ü" * 6, "z"]
-    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "g long, o long, t string")
-    got = [(r.batch, r.o, r.piece) for r in packing.pack_messages(df, "g", "o", "t", 2, 8).orderBy("batch", "place").collect()]
-    assert got == _pack(list(enumerate(texts)), 2, 8)
+def _check_packing(rows, texts, most, limit):
+    """What greedy packing means: nothing lost, both limits held, and no batch that could have taken the next piece."""
+    rows = sorted(rows, key=lambda r: (r.batch, r.place))
+    joined = {}
+    for r in rows:
+        joined[r.o] = joined.get(r.o, "") + r.piece
+    assert joined == dict(enumerate(texts)) and [r.o for r in rows] == sorted(r.o for r in rows)
+    batches = {}
+    for r in rows:
+        assert r.bytes == len(r.piece.encode()) <= limit
+        batches.setdefault(r.batch, []).append(r)
+    assert sorted(batches) == list(range(len(batches)))
+    for k, batch in batches.items():
+        assert [r.place for r in batch] == list(range(len(batch)))
+        size = sum(r.bytes for r in batch)
+        assert len(batch) <= most and size <= limit
+        if k + 1 in batches:
+            assert len(batch) == most or size + batches[k + 1][0].bytes > limit
+    for a, b in zip(rows, rows[1:], strict=False):
+        if a.o == b.o:  # a piece ends only where the next character has no room
+            assert a.bytes + len(b.piece[0].encode()) > limit
+
+
+@pytest.mark.parametrize(("most", "limit"), [(2, 8), (1, 4), (3, 600), (50, 11)])
+def test_packing_is_greedy_and_splits_between_characters(spark, most, limit):
+    texts = ["aé", "日本語のテキスト", "x" * 11, "ü" * 6, "z", "😀" * 9, "ab", "c"] * 5
+    rows = [(g, i, t) for g in (1, 2, None) for i, t in enumerate(texts)]
+    got = packing.pack_messages(spark.createDataFrame(rows, "g long, o long, t string"), "g", "o", "t", most, limit).collect()
+    for g in (1, 2, None):
+        _check_packing([r for r in got if r.g == g], texts, most, limit)
+
+
+def test_packing_refuses_empty_messages_and_small_limits(spark):
+    rows = spark.createDataFrame([(1, 1, "a"), (1, 2, "")], "g long, o long, t string")
+    with pytest.raises(Exception, match="empty"):
+        packing.pack_messages(rows, "g", "o", "t", 2, 8).collect()
+    for most, limit in ((0, 8), (2, 3)):
+        with pytest.raises(ValueError, match="room"):
+            packing.pack_messages(rows, "g", "o", "t", most, limit)
 
 
 @given(st.text(max_size=40), st.integers(4, 20))
@@ -262,3 +277,70 @@ def test_memories(spark):
     rows = [('"a"',), ('{"text": "b", "k": 1}',), ('["a", {"text": "c"}]',), ('["a", {"text": " "}]',), ('[1]',), ('{"text": 3}',), ("7",), ("{",), (None,), ("[]",)]
     got = [r[0] if r[0] is None else [m.text for m in r[0]] for r in spark.createDataFrame(rows, "t string").coalesce(1).select(text.extracted_memories(F.col("t"))).collect()]
     assert got == [["a"], ["b"], ["a", "c"], None, None, None, None, None, None, []]
+
+
+def test_pairs_are_unavailable_unless_the_cases_are_one_judged_set(spark):
+    def arms(left, right):
+        schema = "k long, ok boolean"
+        pairs = accuracy.paired(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), "k", "ok").withColumn("g", F.lit(0))
+        return one(accuracy.pair_statistics(accuracy.paired_counts(pairs, ["g"])))
+
+    whole = [(i, i < 6) for i in range(10)]
+    row = arms(whole, [(i, i < 3) for i in range(10)])
+    assert (row.reason, row.delta_num, row.delta_den, row.p_num, row.p_den) == (None, 3, 10, "1", "4")
+    for left, right, reason in (
+        (whole, whole[:9], "case_sets_differ"), (whole[1:], whole, "case_sets_differ"), (whole, [*whole, (3, True)], "case_sets_differ"),
+        ([*whole, (None, True)], [*whole, (None, True)], "case_sets_differ"), (whole, [*whole[:9], (9, None)], "unjudged_cases"),
+    ):
+        row = arms(left, right)
+        assert (row.reason, row.delta_num, row.p_num, row.p_display) == (reason, None, None, None)
+
+
+def test_mcnemar_by_a_second_algorithm():
+    from math import comb
+
+    for a in range(0, 40, 3):
+        for b in range(0, 60, 7):
+            n = a + b
+            want = min(Fraction(1), Fraction(2 * sum(comb(n, k) for k in range(min(a, b) + 1)), 2**n)) if n else Fraction(1)
+            assert exact.mcnemar_fraction(a, b) == want
+
+
+def test_chains_of_any_length(spark):
+    rows = [(i, i - 1 if i % 500 else None) for i in range(1, 1200)] + [(5000, 4999), (6000, 6001), (6001, 6000)]
+    got = {r.a: (r.root, r.depth) for r in joining.recursive_chains(spark.createDataFrame(rows, "a long, p long"), "a", "p").collect()}
+    assert got[150] == (0, 150) and got[499] == (0, 499) and got[500] == (500, 1) and got[999] == (500, 500) and got[1199] == (1000, 200)
+    assert got[5000] == (4999, 1) and 6000 not in got
+
+
+def test_mismatches_are_found_on_both_sides(spark):
+    a = spark.createDataFrame([(1, "x", 1), (2, "y", None), (3, "z", 3)], "k long, s string, n long")
+    b = spark.createDataFrame([(1, "x", 2), (2, "y", None), (4, "w", 4)], "k long, s string, n long")
+    assert {r.k: r.differing for r in joining.field_mismatches(a, b, "k", ["s", "n"]).collect()} == {1: ["n"], 3: ["missing"], 4: ["extra"]}
+
+
+def test_small_strata_are_refused(spark):
+    rows = spark.createDataFrame([("a", i) for i in range(9)] + [("b", i) for i in range(4)], "s string, k long")
+    with pytest.raises(Exception, match="too few"):
+        selecting.stratified_hash_top(rows, "s", "k", "p", 5).collect()
+    got = selecting.stratified_hash_top(rows, "s", "k", "p", 4).collect()
+    import hashlib
+
+    want = sorted(range(9), key=lambda k: hashlib.sha256(f"p\0{k}".encode()).hexdigest())[:4]
+    assert [r.k for r in sorted(got, key=lambda r: (r.s, r.place)) if r.s == "a"] == want
+
+
+def test_manifest_selection_names_what_does_not_close(spark):
+    m = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("d", 4)], "k string, o long")
+    runtime = spark.createDataFrame([("a", 1), ("b", 2), ("d", 3)], "k string, o long")
+    asked = spark.createDataFrame([("c", 1), ("a", 2), ("x", 3), ("d", 4), ("d", 5)], "k string, place long")
+    chosen, issues = selecting.manifest_selection(m, runtime, asked, "k", "o")
+    assert sorted((r.code, r.ref) for r in issues.collect()) == [("duplicate_request", "d"), ("out_of_order", "a"), ("runtime_differs", "c"), ("runtime_differs", "d"), ("unknown_request", "x")]
+    assert sorted((r.k, r.o) for r in chosen.collect()) == [("a", 1), ("c", 3), ("d", 4), ("d", 4)]
+
+
+def test_a_leader_has_to_win_every_pair(spark):
+    cells = spark.createDataFrame([(g, a, k, 60, True) for g, ks in ((1, (50, 40, 30)), (2, (50, 50, 30)), (3, (50, 40, 30))) for a, k in zip("xyz", ks, strict=True)] + [(4, "x", 9, 9, False)], "g long, arm string, k long, n long, complete boolean")
+    pairs = spark.createDataFrame([(1, "x", "y", "x"), (1, "x", "z", "x"), (1, "y", "z", None), (3, "x", "y", None), (3, "z", "x", "x")], "g long, left_arm string, right_arm string, leader string")
+    got = {r.g: (r.leader, r.failed_predicate) for r in accuracy.report_leader(cells, pairs, ["g"], "arm", "k", "n", "complete").collect()}
+    assert got == {1: ("x", ""), 2: (None, "unique_highest_accuracy"), 3: (None, "all_pairwise_thresholds"), 4: (None, "complete_equal_coverage")}
