@@ -120,10 +120,11 @@ def ratio_gate(before: Column, after: Column, size_before: Column, size_after: C
 
 
 def arm_pairs(arms: DataFrame, ordinal: str) -> DataFrame:
-    """All unordered pairs of arms, left before right: ``arms`` has one row per arm, a handful."""
-    a = arms.select(*[F.col(c).alias(f"left_{c}") for c in arms.columns])
-    b = arms.select(*[F.col(c).alias(f"right_{c}") for c in arms.columns])
-    return a.join(F.broadcast(b), F.col(f"left_{ordinal}") < F.col(f"right_{ordinal}"))
+    """All unordered pairs of arms, left before right: ``arms`` has one row per arm, a handful, which become one array."""
+    one = arms.agg(F.array_sort(F.collect_list(F.struct(F.col(ordinal).alias("o"), F.struct(*arms.columns).alias("arm")))).alias("_all"))
+    left = one.select("_all", F.posexplode("_all").alias("_place", "_left"))
+    pairs = left.select("_left", F.explode(F.slice("_all", F.col("_place") + 2, F.size("_all"))).alias("_right")).where("_left.o < _right.o")
+    return pairs.select(*[F.col(f"_{side}.arm").getField(c).alias(f"{side}_{c}") for side in ("left", "right") for c in arms.columns])
 
 
 def limitations(checks: dict[str, Column]) -> Column:

@@ -221,17 +221,19 @@ def run_counters(contexts: DataFrame, plans: DataFrame, cases: DataFrame, diagno
     """
     state, judged = F.col("state"), F.col("disposition")
     ends = ("completed", "error", "unsupported", "cancelled", "budget_exceeded")
-    validated = lambda c: F.lit(None).cast("long") if diagnostic else c
-    c = cases.agg(
-        F.count("*").alias("intended_cases"), F.count_if(state.isin(*ends)).alias("terminal_cases"), F.count_if(state == "completed").alias("completed_cases"), F.count_if(state == "error").alias("errored_cases"),
-        F.count_if(state == "unsupported").alias("unsupported_cases"), F.count_if(state == "cancelled").alias("cancelled_cases"), F.count_if(state == "budget_exceeded").alias("budget_exceeded_cases"),
-        validated(F.count_if("parsed")).alias("parsed_cases"), validated(F.count_if(judged.isin("deterministic", "judged"))).alias("evaluated_cases"), validated(F.count_if(judged == "judged")).alias("judged_cases"),
-        validated(F.count_if(judged == "unjudged")).alias("unjudged_cases"), validated(F.count_if((state == "completed") & judged.isin("deterministic", "judged"))).alias("metric_eligible_cases"),
+    rows = all_issues(
+        cases.select(F.lit("case").alias("kind"), F.col("state").cast("string"), F.col("disposition").cast("string"), F.col("parsed").cast("boolean"), F.lit(None).cast("string").alias("context")),
+        plans.select(F.lit("plan").alias("kind"), F.col("state").cast("string"), F.lit(None).cast("string").alias("disposition"), F.lit(None).cast("boolean").alias("parsed"), F.lit(None).cast("string").alias("context")),
+        contexts.select(F.lit("context").alias("kind"), F.lit(None).cast("string").alias("state"), F.lit(None).cast("string").alias("disposition"), F.lit(None).cast("boolean").alias("parsed"), F.col("context_id").cast("string").alias("context")),
+    )
+    case = lambda name, holds: F.count_if((F.col("kind") == "case") & holds).alias(name)
+    checked = lambda name, holds: F.lit(None).cast("long").alias(name) if diagnostic else case(name, holds)
+    return rows.agg(
+        case("intended_cases", F.lit(True)), case("terminal_cases", state.isin(*ends)), case("completed_cases", state == "completed"), case("errored_cases", state == "error"), case("unsupported_cases", state == "unsupported"),
+        case("cancelled_cases", state == "cancelled"), case("budget_exceeded_cases", state == "budget_exceeded"), checked("parsed_cases", F.col("parsed")), checked("evaluated_cases", judged.isin("deterministic", "judged")),
+        checked("judged_cases", judged == "judged"), checked("unjudged_cases", judged == "unjudged"), checked("metric_eligible_cases", (state == "completed") & judged.isin("deterministic", "judged")),
+        F.count_if(F.col("kind") == "plan").alias("intended_plans"), F.count_if((F.col("kind") == "plan") & (state == "sealed")).alias("ready_plans"), F.count_distinct("context").alias("intended_contexts"),
     )
-    p = plans.agg(F.count("*").alias("intended_plans"), F.count_if(state == "sealed").alias("ready_plans"))
-    k = contexts.agg(F.count_distinct("context_id").alias("intended_contexts"))
-    one = lambda df: df.withColumn("_one", F.lit(1))
-    return one(c).join(one(p), "_one").join(one(k), "_one").drop("_one")
 
 
 def attempt_outcomes(attempts: DataFrame, by: list[str]) -> DataFrame:

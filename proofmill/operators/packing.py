@@ -125,3 +125,15 @@ def chunk_documents(messages: DataFrame, group: str, order: str, text: str, max_
 
     chars = F.coalesce(F.length(text), F.lit(0)).cast("long")
     return _sorted(messages, group, order, chars).mapInArrow(fold, f"g {kinds[group]}, chunk long, o {kinds[order]}, chars long").withColumnsRenamed({"g": group, "o": order})
+
+
+def chunk_texts(messages: DataFrame, group: str, order: str, text: str, max_chars: int, header: Column, separator: str = "\n\n") -> DataFrame:
+    """(group, chunk, document): the chunks of ``chunk_documents`` as texts under a header, which may use group and chunk.
+
+    The limit holds for the messages, so a chunk's text has some max_chars or one message.
+    """
+    placed = chunk_documents(messages, group, order, text, max_chars, separator).select(F.col(group).alias("_g"), F.col(order).alias("_o"), "chunk")
+    rows = messages.join(placed, F.col(group).eqNullSafe(F.col("_g")) & (F.col(order) == F.col("_o")))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(text, F.lit("")).alias("t")))), lambda p: p["t"])
+    whole = rows.groupBy(group, "chunk").agg(F.array_join(parts, separator).alias("_text"))
+    return whole.select(group, "chunk", F.concat(header, F.lit(separator), "_text").alias("document"))

@@ -28,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from proofmill.plans import accuracy_queries, evidence_queries, join_queries, ledger_queries, reduction_queries, rule_queries, sequence_queries, text_queries  # noqa: F401
+    from proofmill.plans import accuracy_queries, document_queries, evidence_queries, join_queries, ledger_queries, reduction_queries, rule_queries, sequence_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
