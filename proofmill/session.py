@@ -29,18 +29,29 @@ def session(master: str = "local[*]", app: str = "proofmill", **extra: str) -> S
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, a laptop) a temporary folder is made and recorded in the session.
+    Only a local session may do without that setting (tests, a laptop): a temporary folder is made and recorded in the
+    session. On a cluster a machine's own folder would not be shared, so there the setting is required.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         base = tempfile.mkdtemp(prefix="proofmill-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path of its own below the shared folder."""
-    return f"{shared_dir(spark)}/proofmill/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the application's own folder below the shared one, which is deleted when the application ends."""
+    context = spark.sparkContext
+    folder = f"{shared_dir(spark)}/proofmill/{context.applicationId}"
+    if getattr(context, "_proofmill_folder", None) != folder:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        system = path.getFileSystem(context._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        context._proofmill_folder = folder
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,6 +73,44 @@ def read_external(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"struct<cases:array<{EXTERNAL_CASE}>>").getField("cases")).alias("c")).select("c.*")
 
 
+#: The fields that an external result file may have at its top and in a case.
+EXTERNAL_FIELDS = ("cases", "total_cases", "correct_cases", "context_tokens_total", "retrieval_time_ms_total")
+EXTERNAL_CASE_FIELDS = ("case_id", "category", "verdict", "context_tokens", "retrieval_time_ms")
+
+
+def external_issues(spark: SparkSession, path: str) -> DataFrame:
+    """(path, code, ref) of external result files that are not closed: ``unparsable``, ``field`` for one that is not
+    allowed at the top, ``case_field`` for one in a case, ``case`` for a case of the wrong type, ``duplicate``."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    names = F.json_object_keys("value")
+    cases = F.from_json(F.get_json_object("value", "$.cases"), "array<string>")
+    each = files.select("path", F.explode(cases).alias("case"))
+    bad = names.isNull() | cases.isNull()
+    listed = lambda allowed: F.array(*[F.lit(a) for a in allowed])
+    parsed = F.from_json("case", f"{EXTERNAL_CASE[7:-1].replace(':', ' ').replace(',', ', ').replace('20, 6', '20,6')}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    ident = F.get_json_object("case", "$.case_id")
+    return (
+        files.where(bad).select("path", F.lit("unparsable").alias("code"), F.lit(None).cast("string").alias("ref"))
+        .unionByName(files.where(~bad).select("path", F.lit("field").alias("code"), F.explode(F.array_except(names, listed(EXTERNAL_FIELDS))).alias("ref")))
+        .unionByName(each.select("path", F.lit("case_field").alias("code"), F.explode(F.array_except(F.json_object_keys("case"), listed(EXTERNAL_CASE_FIELDS))).alias("ref")))
+        .unionByName(each.where(parsed["_bad"].isNotNull() | ident.isNull()).select("path", F.lit("case").alias("code"), ident.alias("ref")))
+        .unionByName(each.groupBy("path", ident.alias("ref")).count().where("count > 1 and ref is not null").select("path", F.lit("duplicate").alias("code"), "ref"))
+    )
+
+
+def concatenate_offset_pages(pages: DataFrame, items: str, offset: str, limit: str, total: str, identity: str) -> tuple[DataFrame, DataFrame]:
+    """The items of pages by offset, and what is wrong: totals that drift, offsets that do not follow on each other,
+    pages under their limit before the last, repeated ids, another number of items than the total."""
+    rows = pages.select(offset, F.posexplode(items).alias("place", "i")).select((F.col(offset) + F.col("place")).alias("place"), "i.*")
+    w = Window.orderBy(offset)  # one row per page
+    placed = pages.withColumn("_n", F.size(items)).withColumn("_next", F.lead(offset).over(w)).withColumn("_first", F.row_number().over(w) == 1)
+    gap = F.coalesce(F.col("_next") != F.col(offset) + F.col("_n"), F.lit(False)) | (F.col("_first") & (F.col(offset) != 0))
+    short = F.col("_next").isNotNull() & (F.col("_n") < F.col(limit))
+    facts = placed.agg(F.count_distinct(total).alias("t"), F.bool_or(gap).alias("gap"), F.bool_or(short).alias("short"), F.sum("_n").alias("n"), F.max(total).alias("declared"), F.size(F.array_distinct(F.flatten(F.collect_list(F.transform(items, lambda x: x[identity]))))).alias("u"))
+    checks = {"count_drift": F.col("t") != 1, "offsets": F.col("gap"), "short_page": F.col("short"), "duplicate_id": F.col("n") != F.col("u"), "count": F.col("n") != F.col("declared")}
+    return rows, facts.select(F.explode(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in checks.items()]))).alias("code"))
+
+
 def read_projection(spark: SparkSession, url: str, relation: str, run_column: str, run_id: str, **options: str) -> DataFrame:
     """A provider's table over JDBC; the predicate goes to the database, and Spark splits the read instead of paging."""
     quoted = run_id.replace("'", "''")

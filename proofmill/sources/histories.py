@@ -109,3 +109,27 @@ def keep_selected(histories: DataFrame, questions: str, selection: list[str]) ->
     ids = F.array(*[F.lit(s) for s in selection])
     kept = histories.withColumn(questions, F.filter(questions, lambda q: F.array_contains(ids, q["question_id"])))
     return kept.where(F.size(questions) > 0)
+
+
+#: The reader of each kind of dataset, the array that holds its sessions or turns, and the column of its identity.
+READERS = {"rows": (read_rows, "question_id"), "conversations": (read_conversations, "conversation_id")}
+
+
+def load_histories(spark: SparkSession, kind: str, path: str, sha256: str | None = None, selection: list[str] | None = None) -> DataFrame:
+    """A dataset of one of READERS, behind its checksum, with the selected identities only.
+
+    An unknown kind, a repeated identity in the file and a selected identity that it lacks are errors.
+    """
+    if kind not in READERS:
+        raise ValueError(f"unknown kind of dataset: {kind}")
+    reader, key = READERS[kind]
+    rows = reader(spark, path, sha256)
+    whole = rows if kind == "rows" else rows.select(key, "history").distinct()
+    if whole.groupBy(key).count().where("count > 1").limit(1).count():
+        raise ValueError(f"a {key} is there more than once")
+    if selection is None:
+        return rows
+    wanted = spark.createDataFrame([(s,) for s in selection], f"{key} string")
+    if wanted.join(whole, key, "left_anti").limit(1).count() or len(set(selection)) != len(selection):
+        raise ValueError("the selection names an identity that is unknown or repeated")
+    return rows.join(wanted, key, "left_semi")

@@ -37,3 +37,18 @@ def test_scans_read_only_what_is_used(spark, sf_dir, name, table_columns):
 def test_filters_reach_the_scan(spark, sf_dir):
     text = plan(registry.queries()["facet_filter"](spark, sf_dir))
     assert any("In(event_type" in line and "In(user_id" in line for line in re.findall(r"PushedFilters: .*", text))
+
+
+def test_tables_of_their_own_folder_and_no_local_folder_on_a_cluster(spark):
+    from proofmill import session
+
+    first, second = session.shared_path(spark, "a"), session.shared_path(spark, "a")
+    assert first != second and first.rsplit("/", 1)[0] == second.rsplit("/", 1)[0]
+    assert spark.sparkContext.applicationId in first and first.startswith(spark.conf.get("spark.checkpoint.dir"))
+
+    class Cluster:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default: default)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        session.shared_dir(Cluster)

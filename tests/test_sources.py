@@ -127,3 +127,81 @@ def test_config_and_checksums(tmp_path):
     assert config.verify_files(tmp_path, sums) == ["gone"]
     with pytest.raises(ValueError, match="checksum line"):
         config.checksum_list("xyz a")
+
+
+def test_records_of_another_type_are_kept_apart(spark, tmp_path):
+    good = {"schema_name": "a", "schema_version": 1, "n": 5}
+    lines = [json.dumps(good), json.dumps({**good, "n": "five"}), json.dumps({**good, "schema_version": 2}), '{"schema_name": "a", "schema_version": 1, "n": ', "no json"]
+    (tmp_path / "r.json").write_text("\n".join(lines))
+    found = evidence.read_records(spark, str(tmp_path), {("a", 1): "n long"})
+    assert [r.n for r in found["a", 1].collect()] == [5]
+    assert sorted(r.value for r in found["", 0].collect()) == sorted(lines[1:])
+
+
+def test_a_file_without_a_list_is_refused(spark, tmp_path):
+    from proofmill.sources import histories
+
+    (tmp_path / "x.json").write_text('{"question_id": "q"}')
+    for reader in (histories.read_rows, histories.read_conversations):
+        with pytest.raises(Exception, match="no array"):
+            reader(spark, str(tmp_path / "x.json")).collect()
+
+
+def test_datasets_are_chosen_unique_and_selected(spark, tmp_path):
+    from proofmill.sources import histories
+
+    row = {"question_type": "t", "question": "q?", "answer": "a", "question_date": "2023/05/20 (Sat) 02:21", "haystack_session_ids": ["s"], "haystack_dates": ["2023/05/19 (Fri) 02:21"], "haystack_sessions": [[{"role": "user", "content": "x"}]], "answer_session_ids": ["s"]}
+    path = str(tmp_path / "d.json")
+    (tmp_path / "d.json").write_text(json.dumps([{**row, "question_id": q} for q in "abc"]))
+    assert sorted(r.question_id for r in histories.load_histories(spark, "rows", path, selection=["c", "a"]).collect()) == ["a", "c"]
+    for kind, chosen in (("other", None), ("rows", ["z"]), ("rows", ["a", "a"])):
+        with pytest.raises(ValueError, match="unknown|repeated"):
+            histories.load_histories(spark, kind, path, selection=chosen)
+    (tmp_path / "e.json").write_text(json.dumps([{**row, "question_id": q} for q in "aab"]))
+    with pytest.raises(ValueError, match="more than once"):
+        histories.load_histories(spark, "rows", str(tmp_path / "e.json"))
+
+
+def test_external_files_are_closed(spark, tmp_path):
+    case = {"case_id": "1", "category": "c", "verdict": True, "context_tokens": 5, "retrieval_time_ms": 1.25}
+    for name, text in {
+        "a": json.dumps({"cases": [case, {**case, "case_id": "2"}], "total_cases": 2}), "b": json.dumps({"cases": [{**case, "answer": "x"}, case], "extra": 1}), "c": "not json", "d": json.dumps({"cases": [{**case, "verdict": "yes"}]}),
+    }.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    got = sorted((r.path[-6], r.code, r.ref) for r in evidence.external_issues(spark, f"{tmp_path}/*.json").collect())
+    assert got == [("b", "case_field", "answer"), ("b", "duplicate", "1"), ("b", "field", "extra"), ("c", "unparsable", None), ("d", "case", "1")]
+
+
+def test_offset_pages(spark):
+    schema = "offset long, limit long, total long, items array<struct<id:string>>"
+    page = lambda at, ids, total=5: (at, 2, total, [(i,) for i in ids])
+    def codes(pages):
+        rows, wrong = evidence.concatenate_offset_pages(spark.createDataFrame(pages, schema), "items", "offset", "limit", "total", "id")
+        return rows.count(), sorted(r.code for r in wrong.collect())
+
+    assert codes([page(0, "ab"), page(2, "cd"), page(4, "e")]) == (5, [])
+    assert codes([page(0, "ab"), page(2, "c"), page(4, "e", 6)]) == (4, ["count", "count_drift", "offsets", "short_page"])
+    assert codes([page(0, "ab"), page(2, "cb"), page(4, "e")]) == (5, ["duplicate_id"])
+
+
+def test_published_folders_are_replaced_and_verified(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for n in (3, 5):
+        sinks.replace(spark.range(n).coalesce(1), path)
+        assert spark.read.parquet(path).count() == n
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]
+    root = tmp_path / "run"
+    (root / "raw").mkdir(parents=True)
+    (root / "raw" / "x.bin").write_bytes(b"abc")
+    (root / "a.json").write_text("{}")
+    (root / "b.json").write_text("{}")
+    assert [r.code for r in sinks.verify_published(spark, str(root)).collect()] == ["unpublished"]
+    listed = {r.path: r.kind for r in sinks.publish_with_manifest(spark, str(root)).collect()}
+    assert listed == {"raw/x.bin": "raw", "a.json": "record", "b.json": "record"}
+    assert sinks.verify_published(spark, str(root)).count() == 0
+    (root / "a.json").write_text("[]")
+    (root / "b.json").unlink()
+    (root / "c.json").write_text("{}")
+    assert {r.path: r.code for r in sinks.verify_published(spark, str(root)).collect()} == {"a.json": "changed", "b.json": "missing", "c.json": "extra"}
+    sinks.export_pairs(spark.createDataFrame([("a", "b", 1), ("a", "c", 2)], "left string, right string, n long"), str(tmp_path / "pairs"), "left", "right")
+    assert sorted(p.name for p in (tmp_path / "pairs").glob("pair=*")) == ["pair=a--b", "pair=a--c"]
