@@ -13,42 +13,52 @@ from proofmill.llm.common import table
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every text of ``documents``; see ``secrets.scan_secrets`` for null, empty and repeated rows."""
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components, classes and numbers of links of all ``documents``; see ``jaccard.jaccard_classes`` for the edge cases."""
     return jaccard.jaccard_classes(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``conversations`` in reply order without quotations; see ``chat.format_chat`` for the edge cases."""
     return chat.chat_rows(table(spark, sf_dir, "conversations"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold items of ``benchmark``; see ``decontaminate.contamination`` for the edge cases."""
     return decontaminate.contaminated_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text of ``documents``, learnt from ``labels``; see ``toxicity.score_toxicity`` for the edge cases."""
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word-piece counts of every text of ``documents``; see ``wordpiece.count_pieces`` for the edge cases."""
     return wordpiece.count_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of ``documents``, written to the store and read back; see ``idstore.token_store`` for the edge cases."""
     return idstore.token_store(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text of ``documents``, learnt from ``labels``; see ``quality.score_quality`` for the edge cases."""
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of sources takes of each of ``documents``; see ``mixing.mix_sources`` for the edge cases."""
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts of ``documents``; see ``exactdedup.exact_dedup`` for the edge cases."""
     return exactdedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
