@@ -48,9 +48,9 @@ def body(found: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """A text's normalised sentences that are not empty: array of (hash, whether long)."""
+    """A text's normalised sentences that are not empty: array of (hash, sentence, whether long)."""
     plain = F.transform(F.split(F.regexp_replace(text, r"[ \x09-\x0D]+", " "), r"(?<=[.!?]) ", -1), lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " ")))
-    return F.transform(F.filter(plain, lambda s: s != ""), lambda s: F.struct(F.xxhash64(s).alias("hash"), (F.length(s) >= LEAST_CHARS).cast("int").alias("long")))
+    return F.transform(F.filter(plain, lambda s: s != ""), lambda s: F.struct(F.xxhash64(s).alias("hash"), s.alias("sentence"), (F.length(s) >= LEAST_CHARS).cast("int").alias("long")))
 
 
 def reply_links(messages: DataFrame) -> DataFrame:
@@ -61,15 +61,16 @@ def reply_links(messages: DataFrame) -> DataFrame:
     quoting = messages.where(F.exists("_passages", lambda p: p["level"] > 0))
     quoted = quoting.select("conv_id", "turn", F.explode(F.filter("_passages", lambda p: p["level"] > 0)).alias("_p")).select("conv_id", "turn", F.col("_p.level").alias("level"), F.explode(sentences(F.col("_p.text"))).alias("_s")).select("conv_id", "turn", "level", "_s.*")
     quoted = stored(quoted, "quoted")
-    asked = quoted.select(F.col("conv_id").alias("_c"), F.col("hash").alias("_h")).distinct()
+    # the hash decides where rows go, the sentences themselves whether they meet
+    asked = quoted.select(F.col("conv_id").alias("_c"), F.col("hash").alias("_h"), F.col("sentence").alias("_s")).distinct()
     own = messages.join(asked.select("_c").distinct(), F.col("conv_id") == F.col("_c"), "left_semi")
-    said = own.select("conv_id", "turn", F.explode(F.array_distinct(sentences(body(F.col("_passages"))))).alias("_s")).select("conv_id", "turn", "_s.hash")
-    said = said.join(asked, (F.col("conv_id") == F.col("_c")) & (F.col("hash") == F.col("_h")), "left_semi").distinct()
+    said = own.select("conv_id", "turn", F.explode(F.array_distinct(sentences(body(F.col("_passages"))))).alias("_s")).select("conv_id", "turn", "_s.hash", "_s.sentence")
+    said = said.join(asked, (F.col("conv_id") == F.col("_c")) & (F.col("hash") == F.col("_h")) & (F.col("sentence") == F.col("_s")), "left_semi").distinct()
     # an as-of join by one pass over both sides: linear in the rows of a sentence, however common
-    both = said.select("conv_id", "hash", "turn", F.lit(None).cast("int").alias("level"), F.lit(None).cast("int").alias("long"), F.col("turn").alias("said")).union(
-        quoted.select("conv_id", "hash", "turn", "level", "long", F.lit(None).cast(said.schema["turn"].dataType))
+    both = said.select("conv_id", "hash", "sentence", "turn", F.lit(None).cast("int").alias("level"), F.lit(None).cast("int").alias("long"), F.col("turn").alias("said")).union(
+        quoted.select("conv_id", "hash", "sentence", "turn", "level", "long", F.lit(None).cast(said.schema["turn"].dataType))
     )
-    earlier = Window.partitionBy("conv_id", "hash").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("conv_id", "hash", "sentence").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     source = both.withColumn("parent", F.max("said").over(earlier)).where("level is not null and parent is not null")
     votes = source.groupBy("conv_id", "turn", "level", "parent").agg(F.sum("long").alias("long"), F.count("*").alias("count"))
     best = votes.groupBy("conv_id", "turn").agg(F.min(F.struct("level", (-F.col("long")).alias("l"), (-F.col("count")).alias("n"), (-F.col("parent")).alias("p"))).alias("b"))
