@@ -141,15 +141,13 @@ def pair_decision(pairs: DataFrame, min_delta: float, max_p: float, delta: str,
 
 
 def leader(scores: DataFrame, name: str, num: str, den: str) -> DataFrame:
-    """The unique arm of the highest exact score, null on a tie; scores are compared by cross multiplication's order.
+    """The unique arm of the highest exact score, null on a tie; scores are compared by cross products.
 
-    One row per arm: the sums reach this operator, not the cases.
+    One row per arm, a handful: the sums reach this operator, not the cases. Arms without a denominator do not compete.
     """
-    score = rational(F.col(num), F.col(den))
-    exact = (score["num"].cast("decimal(38,18)") / score["den"].cast("decimal(38,0)")).cast("decimal(38,18)")
-    ranked = scores.select(F.col(name).alias("name"), exact.alias("score"))
-    best = ranked.agg(F.max("score").alias("best"))
-    return ranked.join(F.broadcast(best), F.col("score") == F.col("best")).agg(F.when(F.count("*") == 1, F.min("name")).alias("leader"), F.count("*").alias("tied"))
+    one = scores.where(F.col(den) != 0).agg(F.collect_list(F.struct(F.col(name).alias("name"), F.col(num).cast("decimal(19,0)").alias("num"), F.col(den).cast("decimal(19,0)").alias("den"))).alias("_all"))
+    best = F.filter("_all", lambda x: F.forall("_all", lambda y: x["num"] * y["den"] >= y["num"] * x["den"]))
+    return one.select(best.alias("_best")).select(F.when(F.size("_best") == 1, F.element_at("_best", 1)["name"]).alias("leader"), F.size("_best").cast("long").alias("tied"))
 
 
 def lowest(values: DataFrame, name: str, value: str) -> DataFrame:

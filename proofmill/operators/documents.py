@@ -242,3 +242,80 @@ def occurrence_issues(occurrences: DataFrame, inventory: DataFrame, records: Dat
     return all_issues(
         issues("inventory", joined.where(~F.col("unit_ids").eqNullSafe(F.col("_units"))), F.coalesce("occurrence_id", "_o")), issues("parent", owned.where(~F.col("occurrence_id").eqNullSafe(F.col("_of"))), "record_id")
     )
+
+
+def metric_issues(cases: DataFrame, judges: DataFrame) -> DataFrame:
+    """Case metrics (case_id, state, numerator, denominator) against the trace of judge attempts (case_id, ordinal, outcome,
+    verdict): ``not_null`` (a metric where the case did not run or is unjudged), ``judge`` (a judged case whose last
+    attempt is not its one success) and ``fraction`` (another fraction than the last verdict gives)."""
+    w = Window.partitionBy("case_id").orderBy("ordinal")
+    traced = judges.withColumn("_last", F.lead("ordinal").over(w).isNull()).groupBy(F.col("case_id").alias("_c")).agg(
+        F.count_if(F.col("outcome") == "succeeded").alias("_n"), F.max(F.when(F.col("_last"), F.col("outcome"))).alias("_outcome"), F.max(F.when(F.col("_last"), F.col("verdict").cast("int"))).alias("_verdict")
+    )
+    joined = cases.join(traced, F.col("case_id") == F.col("_c"), "left")
+    judged = F.col("state") == "judged"
+    final = (F.coalesce("_n", F.lit(0)) == 1) & F.col("_outcome").eqNullSafe(F.lit("succeeded"))
+    code = (
+        F.when(~judged & (F.col("numerator").isNotNull() | F.col("denominator").isNotNull()), "not_null").when(judged & ~final, "judge")
+        .when(judged & ~(F.col("numerator").cast("int").eqNullSafe(F.col("_verdict")) & F.col("denominator").eqNullSafe(F.lit(1))), "fraction")
+    )
+    return joined.select(code.alias("code"), F.col("case_id").cast("string").alias("ref")).where("code is not null")
+
+
+#: Characters that change the direction of text, have no width, or control a terminal.
+HIDDEN = r"[\u200b-\u200f\u202a-\u202e\u2060-\u2069\ufeff\x00-\x08\x0b\x0c\x0e-\x1f]"
+
+
+def export_issues(files: DataFrame, payload: DataFrame, most_bytes: int, forbidden: str) -> DataFrame:
+    """Exported files (path, content) against the payload (path, sha256) that a report names: ``missing``, ``extra``,
+    ``changed``, ``size`` (over the cap), ``hidden`` (characters that turn or hide text) and ``secret`` (a forbidden pattern)."""
+    f = files.select("path", F.octet_length(F.encode("content", "UTF-8")).alias("_n"), F.sha2(F.col("content").cast("binary"), 256).alias("_sha"), F.col("content").rlike(HIDDEN).alias("_hidden"), F.col("content").rlike(forbidden).alias("_secret"))
+    p = payload.select(F.col("path").alias("_p"), F.col("sha256").alias("_said"))
+    both = f.join(p, F.col("path") == F.col("_p"), "full_outer")
+    there = F.col("path").isNotNull()
+    checks = {
+        "missing": ~there, "extra": F.col("_p").isNull(), "changed": there & F.col("_p").isNotNull() & ~F.col("_sha").eqNullSafe(F.col("_said")), "size": there & (F.col("_n") > most_bytes), "hidden": there & F.col("_hidden"), "secret": there & F.col("_secret"),
+    }
+    found = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in checks.items()]))
+    return both.select(F.explode(found).alias("code"), F.coalesce("path", "_p").cast("string").alias("ref"))
+
+
+def usage_cover_issues(plans: DataFrame, usage: DataFrame, attempts: DataFrame) -> DataFrame:
+    """A plan's usage ids (plan_id, usage_ids) against the usage records (usage_id, plan_id, attempt_id), both ways, and
+    whether the records cover all attempts (attempt_id, plan_id): ``unknown``, ``unlisted``, ``repeated``, ``uncovered``."""
+    listed = plans.select("plan_id", F.explode("usage_ids").alias("usage_id"))
+    u = usage.select(F.col("usage_id").alias("_u"), F.col("plan_id").alias("_p"))
+    both = listed.distinct().join(u.distinct(), (F.col("usage_id") == F.col("_u")) & (F.col("plan_id") == F.col("_p")), "full_outer")
+    used = usage.select(F.col("attempt_id").alias("_a"), F.col("plan_id").alias("_ap")).distinct()
+    bare = attempts.join(used, (F.col("attempt_id") == F.col("_a")) & (F.col("plan_id") == F.col("_ap")), "left_anti")
+    return all_issues(
+        issues("unknown", both.where("_u is null"), "usage_id"), issues("unlisted", both.where("usage_id is null"), "_u"), issues("repeated", listed.groupBy("usage_id").count().where("count > 1"), "usage_id"), issues("uncovered", bare, "attempt_id")
+    )
+
+
+def reduction_differences(stored: DataFrame, fresh: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of a stored reduction that a fresh one does not give, and the other way round: key, side, and the row's values
+    as text. Rows count as often as they are there."""
+    values = [c for c in stored.columns if c not in key]
+    signed = stored.withColumn("_n", F.lit(1)).unionByName(fresh.select(*stored.columns).withColumn("_n", F.lit(-1)))
+    found = signed.groupBy(*stored.columns).agg(F.sum("_n").alias("_n")).where("_n <> 0")
+    shown = F.concat_ws("|", *[F.coalesce(F.col(v).cast("string"), F.lit("")) for v in values])
+    return found.select(*key, F.when(F.col("_n") > 0, "stored").otherwise("fresh").alias("side"), shown.alias("row"))
+
+
+def review_worksheet(contexts: DataFrame, reviews: DataFrame, key: str) -> DataFrame:
+    """The rows that a reviewer still has to fill: contexts without a review, in a stable order, with empty columns."""
+    todo = contexts.join(reviews.select(F.col(key).alias("_k")).distinct(), F.col(key) == F.col("_k"), "left_anti")
+    return todo.select("*", F.lit("").alias("category"), F.lit("").alias("reason"))
+
+
+def review_summary(contexts: DataFrame, reviews: DataFrame, key: str, by: list[str], categories: list[str]) -> DataFrame:
+    """Reviewed, open and unknown rows per group after a worksheet came back, and how many have each category.
+
+    A review of a context that is not there, or a second one of a context, is an error when it is read.
+    """
+    r = reviews.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("_n"), F.min("category").alias("_category"))
+    joined = contexts.join(r, F.col(key) == F.col("_k"), "full_outer")
+    bad = F.col(key).isNull() | (F.col("_n") > 1)
+    checked = joined.withColumn("_category", F.when(F.coalesce(bad, F.lit(False)), F.raise_error(F.lit("a review is unknown or repeated")).cast("string")).otherwise(F.col("_category")))
+    return checked.groupBy(*by).agg(F.count("*").alias("contexts"), F.count("_category").alias("reviewed"), *[F.count_if(F.col("_category") == c).alias(c) for c in categories])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from proofmill.operators import documents, packing
+from proofmill.operators import documents, evidence, joining, packing
 from proofmill.plans.registry import query, table
 from proofmill.sources.histories import session_document
 
@@ -257,3 +257,89 @@ def headed_chunks(spark: SparkSession, d: str) -> DataFrame:
     header = F.concat(F.lit("conversation "), F.col("conv_id").cast("string"), F.lit(", part "), (F.col("chunk") + 1).cast("string"))
     found = packing.chunk_texts(rows, "conv_id", "turn", "text", 2000, header)
     return found.select("conv_id", "chunk", F.sha2(F.col("document").cast("binary"), 256).alias("document_sha256"))
+
+
+@query("""
+WITH j AS (SELECT conv_id, turn, length(text) > 40 AS ok, contains(text, 'the') AS verdict, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) IS NULL AS last FROM conversations),
+t AS (SELECT conv_id, count_if(ok) AS n, bool_or(last AND ok) AS final, bool_or(last AND verdict) AS verdict, min(turn) AS first, max(turn) AS top FROM j GROUP BY 1),
+c AS (SELECT *, CASE WHEN top > 6 THEN 'unjudged' ELSE 'judged' END AS state FROM t)
+SELECT CASE WHEN state = 'unjudged' THEN 'not_null' WHEN NOT (n = 1 AND final) THEN 'judge' ELSE 'fraction' END AS code, conv_id::VARCHAR AS ref FROM c WHERE state = 'unjudged' OR NOT (n = 1 AND final) OR NOT verdict""")
+def metric_trace(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics against the trace of judges: messages as attempts, short ones failed; every case claims 1 of 1."""
+    rows = table(spark, d, "conversations")
+    judges = rows.select(F.col("conv_id").alias("case_id"), F.col("turn").alias("ordinal"), F.when(F.length("text") > 40, "succeeded").otherwise("failed").alias("outcome"), F.contains("text", F.lit("the")).alias("verdict"))
+    cases = rows.groupBy(F.col("conv_id").alias("case_id")).agg(F.when(F.max("turn") > 6, "unjudged").otherwise("judged").alias("state"), F.lit(1).alias("numerator"), F.lit(1).alias("denominator"))
+    return documents.metric_issues(cases, judges)
+
+
+@query("""
+WITH f AS (SELECT doc_id, text, octet_length(encode(text)) AS n FROM documents WHERE lang <> 'es'), p AS (SELECT doc_id, sha256(CASE WHEN n_chars > 8000 THEN text || ' ' ELSE text END) AS sha FROM documents JOIN labels USING (doc_id)),
+b AS (SELECT f.doc_id AS fd, p.doc_id AS pd, text, n, sha FROM f FULL JOIN p ON f.doc_id = p.doc_id)
+SELECT 'missing' AS code, pd::VARCHAR AS ref FROM b WHERE fd IS NULL UNION ALL SELECT 'extra', fd::VARCHAR FROM b WHERE pd IS NULL UNION ALL SELECT 'changed', fd::VARCHAR FROM b WHERE fd IS NOT NULL AND pd IS NOT NULL AND sha256(text) <> sha
+UNION ALL SELECT 'size', fd::VARCHAR FROM b WHERE n > 6000 UNION ALL SELECT 'secret', fd::VARCHAR FROM b WHERE regexp_matches(text, 'AKIA[A-Z0-9]{16}|password *[=:]')""")
+def export_closure(spark: SparkSession, d: str) -> DataFrame:
+    """Exported files against the payload that the report names, their size, hidden characters and secrets."""
+    docs = table(spark, d, "documents")
+    files = docs.where("lang <> 'es'").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
+    text = F.when(F.col("n_chars") > 8000, F.concat("text", F.lit(" "))).otherwise(F.col("text"))
+    payload = docs.join(table(spark, d, "labels").select("doc_id"), "doc_id").select(F.col("doc_id").alias("path"), F.sha2(text.cast("binary"), 256).alias("sha256"))
+    return documents.export_issues(files, payload, 6000, "AKIA[A-Z0-9]{16}|password *[=:]")
+
+
+@query("""
+WITH l AS (SELECT DISTINCT l_orderkey AS usage_id, l_suppkey AS plan_id FROM lineitem WHERE l_returnflag <> 'N'), u AS (SELECT DISTINCT l_orderkey AS usage_id, l_suppkey AS plan_id FROM lineitem WHERE l_linestatus = 'F')
+SELECT 'unknown' AS code, usage_id::VARCHAR AS ref FROM (SELECT * FROM l EXCEPT SELECT * FROM u) UNION ALL SELECT 'unlisted', usage_id::VARCHAR FROM (SELECT * FROM u EXCEPT SELECT * FROM l) UNION ALL
+SELECT 'repeated', l_orderkey::VARCHAR FROM lineitem WHERE l_returnflag <> 'N' GROUP BY l_orderkey HAVING count(*) > 1 UNION ALL
+SELECT 'uncovered', l_partkey::VARCHAR FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem EXCEPT SELECT l_partkey, l_suppkey FROM lineitem WHERE l_linestatus = 'F')""")
+def usage_cover(spark: SparkSession, d: str) -> DataFrame:
+    """A plan's usage ids and its usage records, both ways, and attempts that no record covers."""
+    lines = table(spark, d, "lineitem")
+    plans = lines.where("l_returnflag <> 'N'").groupBy(F.col("l_suppkey").alias("plan_id")).agg(F.collect_list("l_orderkey").alias("usage_ids"))
+    usage = lines.where("l_linestatus = 'F'").select(F.col("l_orderkey").alias("usage_id"), F.col("l_suppkey").alias("plan_id"), F.col("l_partkey").alias("attempt_id"))
+    return documents.usage_cover_issues(plans, usage, lines.select(F.col("l_partkey").alias("attempt_id"), F.col("l_suppkey").alias("plan_id")).distinct())
+
+
+@query("""
+WITH s AS (SELECT o_custkey, count(*) AS n, count_if(o_orderstatus = 'F')::BIGINT AS finished FROM orders WHERE o_totalprice >= 2000 GROUP BY 1), f AS (SELECT o_custkey, count(*) AS n, count_if(o_orderstatus = 'F')::BIGINT AS finished FROM orders GROUP BY 1)
+SELECT o_custkey, 'stored' AS side, n || '|' || finished AS row FROM (SELECT * FROM s EXCEPT SELECT * FROM f) UNION ALL SELECT o_custkey, 'fresh', n || '|' || finished FROM (SELECT * FROM f EXCEPT SELECT * FROM s)""")
+def reduction_recheck(spark: SparkSession, d: str) -> DataFrame:
+    """A stored reduction, which overlooked small orders, against a fresh one."""
+    orders = table(spark, d, "orders")
+    reduce_ = lambda rows: rows.groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("finished"))
+    return documents.reduction_differences(reduce_(orders.where("o_totalprice >= 2000")), reduce_(orders), ["o_custkey"])
+
+
+@query("""
+WITH r AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'noise' ELSE 'related' END AS category FROM labels)
+SELECT lang, count(*) AS contexts, count(category) AS reviewed, count_if(category = 'noise')::BIGINT AS noise, count_if(category = 'related')::BIGINT AS related, count_if(category IS NULL)::BIGINT AS open FROM documents LEFT JOIN r USING (doc_id) GROUP BY 1""")
+def review_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The worksheet of open contexts, and the summary after reviews are joined again."""
+    docs = table(spark, d, "documents").select("doc_id", "lang")
+    reviews = table(spark, d, "labels").select("doc_id", F.when(F.col("toxic") == 1, "noise").otherwise("related").alias("category"))
+    open_rows = documents.review_worksheet(docs, reviews, "doc_id").groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("open"))
+    found = documents.review_summary(docs, reviews, "doc_id", ["lang"], ["noise", "related"])
+    return found.join(open_rows, F.col("lang") == F.col("_lang"), "left").select("lang", "contexts", "reviewed", "noise", "related", F.coalesce("open", F.lit(0)).alias("open"))
+
+
+@query(r"""
+WITH q AS (SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(text, '[^.!?\n]+[.!?]')) AS quote FROM conversations)
+SELECT q.conv_id, q.turn, quote, count(*) AS sources FROM q JOIN conversations c ON q.conv_id = c.conv_id AND contains(c.text, quote) GROUP BY q.conv_id, q.turn, quote""")
+def sentence_provenance(spark: SparkSession, d: str) -> DataFrame:
+    """Every sentence of every message, and how many messages of its conversation hold it."""
+    messages = table(spark, d, "conversations")
+    quotes = messages.select("conv_id", "turn", F.explode(F.regexp_extract_all("text", F.lit(r"[^.!?\n]+[.!?]"), F.lit(0))).alias("quote")).distinct()
+    return joining.quote_provenance(quotes, messages, ["conv_id"], "quote", "text").select("conv_id", "turn", "quote", "sources")
+
+
+_WHOLE = r"""
+n AS (SELECT lang, doc_id, md5(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')) AS identity, sha256(text) AS h FROM documents),
+f AS (SELECT *, first_value(h) OVER w AS fh, row_number() OVER w AS k FROM n WINDOW w AS (PARTITION BY lang, identity ORDER BY doc_id))"""
+
+
+@query(f"""
+WITH {_WHOLE} SELECT lang, doc_id, CASE WHEN k = 1 THEN 'kept' WHEN h = fh THEN 'duplicate' ELSE 'conflict' END AS disposition FROM f""")
+def whole_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates by the letters of their whole text: the first is kept, other texts under its identity conflict."""
+    identity = F.md5(F.regexp_replace(F.lower("text"), "[^a-z]+", " ").cast("binary"))
+    rows = table(spark, d, "documents").withColumn("identity", identity)
+    return evidence.visible_evidence(rows, ["lang"], "identity", "text", ["doc_id"], F.lit(False)).select("lang", "doc_id", "disposition")

@@ -95,3 +95,45 @@ def test_diagnostic_counters_claim_no_evaluation(spark):
     row, loose = ledger.run_counters(contexts, plans, cases).head(), ledger.run_counters(contexts, plans, cases, diagnostic=True).head()
     assert (row.intended_cases, row.terminal_cases, row.judged_cases, row.metric_eligible_cases, row.ready_plans, row.intended_contexts) == (3, 2, 1, 1, 1, 1)
     assert loose.judged_cases is None and loose.parsed_cases is None and loose.completed_cases == 1
+
+
+def test_hidden_characters_and_sizes(spark):
+    from proofmill.operators import documents
+
+    texts = ["plain", "turn‮ed", "zero​width", "bell\x07", "x" * 50, "token=abc"]
+    files = spark.createDataFrame(list(enumerate(texts)), "path long, content string")
+    payload = files.where("path <> 0").select("path", F.sha2(F.col("content").cast("binary"), 256).alias("sha256")).union(spark.createDataFrame([(9, "x")], "path long, sha256 string"))
+    got = codes(documents.export_issues(files, payload, 40, "token="))
+    assert got == [("extra", "0"), ("hidden", "1"), ("hidden", "2"), ("hidden", "3"), ("missing", "9"), ("secret", "5"), ("size", "4")]
+
+
+def test_four_digits(spark):
+    from decimal import Decimal
+
+    from proofmill.operators import documents
+
+    cases = {"0": "0", "0.0005": "<0.001", "-0.0005": ">-0.001", "0.12345": "0.123", "1.2345": "1.235", "12.345": "12.35", "123.45": "123.5", "9999.4": "9999", "9999.5": "10 k", "12345": "12.35 k", "1234567": "1.235 M", "-2500000000": "-2.5 B", "1.0": "1"}
+    rows = spark.createDataFrame([(k, Decimal(k)) for k in cases], "k string, v decimal(38,9)").select("k", documents.number_text(F.col("v")).alias("t")).collect()
+    assert {r.k: r.t for r in rows} == cases
+
+
+def test_reviews_must_be_known_and_single(spark):
+    from proofmill.operators import documents
+
+    contexts = spark.createDataFrame([(1, "a"), (2, "a")], "id long, g string")
+    for reviews in ([(1, "x"), (1, "y")], [(3, "x")]):
+        with pytest.raises(Exception, match="unknown or repeated"):
+            documents.review_summary(contexts, spark.createDataFrame(reviews, "id long, category string"), "id", ["g"], ["x"]).collect()
+    open_rows = documents.review_worksheet(contexts, spark.createDataFrame([(1, "x")], "id long, category string"), "id").collect()
+    assert [(r.id, r.category) for r in open_rows] == [(2, "")]
+
+
+def test_contexts_are_rebuilt(spark):
+    from proofmill.operators import documents
+
+    rows = [(1, 2, "kept", "bé", None), (1, 1, "truncated", "alpha", 3), (1, 3, "dropped", "z", None), (2, 1, "dropped", "q", None)]
+    decisions = spark.createDataFrame(rows, "case_id long, rank long, disposition string, content string, taken int")
+    made = {r.case_id: r for r in documents.visible_context(decisions).collect()}
+    assert made[1].context == "alp\n\nbé" and made[1].bytes == 8 and made[2].context == ""
+    said = documents.visible_context(decisions).drop("context").withColumn("bytes", F.when(F.col("case_id") == 1, 7).otherwise(F.col("bytes")))
+    assert codes(documents.context_issues(said, decisions)) == [("bytes", "1")]
