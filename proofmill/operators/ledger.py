@@ -6,12 +6,18 @@ one equi-join over keys, so it scales with the rows and never compares all pairs
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a value that is computed once a row, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def issues(code: str, rows: DataFrame, ref: Column | str) -> DataFrame:
     return rows.select(F.lit(code).alias("code"), (F.col(ref) if isinstance(ref, str) else ref).cast("string").alias("ref"))
 
@@ -142,18 +148,21 @@ def completion(body: Column) -> Column:
     ``problem`` is null or the first that holds: ``malformed``, ``truncated`` (finish_reason is not stop), ``refused``,
     ``tool_calls``, ``empty``, ``usage`` (a count that is no integer of 0 or more). With a problem there is no content.
     """
-    c = F.from_json(body, _COMPLETION)
-    choice = F.get(c["choices"], F.lit(0))
-    message, usage = choice["message"], c["usage"]
-    counts = {k: F.when(usage[k].rlike("^[0-9]{1,18}$"), usage[k].cast("long")) for k in ("prompt_tokens", "completion_tokens", "total_tokens")}
-    typed = F.get_json_object(body, "$.choices[0].message.content")
-    text = F.regexp_replace(message["content"], r"^\s+|\s+$", "")
-    problem = (
-        F.when(choice.isNull() | message.isNull(), "malformed").when(~choice["finish_reason"].eqNullSafe(F.lit("stop")), "truncated")
-        .when(F.coalesce(message["refusal"], F.lit("")) != "", "refused").when(F.coalesce(F.size(message["tool_calls"]), F.lit(0)) > 0, "tool_calls")
-        .when(typed.isNull() | (F.coalesce(text, F.lit("")) == ""), "empty").when(reduce(Column.__or__, [v.isNull() for v in counts.values()]), "usage")
-    )
-    return F.struct(F.when(problem.isNull(), text).alias("content"), problem.alias("problem"), *[F.when(problem.isNull(), v).alias(k) for k, v in counts.items()])
+    def parts(x: Column) -> Column:
+        c = x["c"]
+        choice = F.get(c["choices"], F.lit(0))
+        message, usage = choice["message"], c["usage"]
+        counts = {k: F.when(usage[k].rlike("^[0-9]{1,18}$"), usage[k].cast("long")) for k in ("prompt_tokens", "completion_tokens", "total_tokens")}
+        typed = x["typed"]
+        text = F.regexp_replace(message["content"], r"^\s+|\s+$", "")
+        problem = (
+            F.when(choice.isNull() | message.isNull(), "malformed").when(~choice["finish_reason"].eqNullSafe(F.lit("stop")), "truncated")
+            .when(F.coalesce(message["refusal"], F.lit("")) != "", "refused").when(F.coalesce(F.size(message["tool_calls"]), F.lit(0)) > 0, "tool_calls")
+            .when(typed.isNull() | (F.coalesce(text, F.lit("")) == ""), "empty").when(reduce(Column.__or__, [v.isNull() for v in counts.values()]), "usage")
+        )
+        return F.struct(F.when(problem.isNull(), text).alias("content"), problem.alias("problem"), *[F.when(problem.isNull(), v).alias(k) for k, v in counts.items()])
+
+    return bound(F.struct(F.from_json(body, _COMPLETION).alias("c"), F.get_json_object(body, "$.choices[0].message.content").alias("typed")), parts)
 
 
 #: The dimensions of a usage record, in order; the first three are the base.
@@ -177,6 +186,12 @@ def upgrade_usage(v2: DataFrame, v3: DataFrame, attempts: DataFrame, key: str) -
     return joined.select(key, "source_version", *DIMENSIONS, covered.alias("covered"), unavailable.alias("unavailable"), proof.alias("proof_status"), reason.alias("reason"))
 
 
+_USAGE = (
+    "prompt_tokens string, completion_tokens string, total_tokens string, prompt_cache_hit_tokens string, prompt_cache_miss_tokens string, "
+    "prompt_tokens_details struct<cached_tokens:string>, completion_tokens_details struct<reasoning_tokens:string>"
+)
+
+
 def usage_details(body: Column) -> Column:
     """Usage of a supplier's JSON: base counts, cached and reasoning tokens, status, limitations and problem.
 
@@ -184,23 +199,36 @@ def usage_details(body: Column) -> Column:
     as a pair whose sum is the prompt tokens and agree with the detail. A missing detail is unavailable; an unknown field
     is a limitation and makes the record partial. ``problem`` names the first rule that is broken.
     """
-    field = lambda path: F.get_json_object(body, f"$.{path}")
-    count = lambda path: F.when(field(path).rlike("^[0-9]{1,18}$"), field(path).cast("long"))
-    base = [count(p) for p in ("prompt_tokens", "completion_tokens", "total_tokens")]
-    hit, miss, nested = count("prompt_cache_hit_tokens"), count("prompt_cache_miss_tokens"), count("prompt_tokens_details.cached_tokens")
-    has = lambda path: field(path).isNotNull()
-    cached, reasoning = F.coalesce(nested, hit), count("completion_tokens_details.reasoning_tokens")
-    known = ("prompt_tokens", "completion_tokens", "total_tokens", "prompt_tokens_details", "completion_tokens_details", "prompt_cache_hit_tokens", "prompt_cache_miss_tokens")
-    unknown = F.array_sort(F.filter(F.json_object_keys(body), lambda k: ~k.isin(*known)))
-    problem = (
-        F.when(reduce(Column.__or__, [b.isNull() for b in base]), "base").when(has("prompt_cache_hit_tokens") != has("prompt_cache_miss_tokens"), "alias_pair")
-        .when(has("prompt_cache_hit_tokens") & (hit.isNull() | miss.isNull() | (hit + miss != base[0])), "alias_sum").when(has("prompt_cache_hit_tokens") & nested.isNotNull() & (nested != hit), "alias_detail")
-    )
-    missing = F.array_compact(F.array(F.when(cached.isNull(), "unavailable:cached_input_tokens"), F.when(reasoning.isNull(), "unavailable:reasoning_tokens")))
-    limits = F.concat(F.transform(unknown, lambda k: F.concat(F.lit("unknown_field:"), k)), missing)
-    proof = F.when(problem.isNull(), F.when(F.size(limits) == 0, "measured_complete").otherwise("measured_partial"))
     names = ("input_tokens", "visible_output_tokens", "supplier_reported_total_tokens")
-    return F.struct(*[F.when(problem.isNull(), b).alias(n) for n, b in zip(names, base, strict=True)], F.when(problem.isNull(), cached).alias("cached_input_tokens"), F.when(problem.isNull(), reasoning).alias("reasoning_tokens"), proof.alias("proof_status"), F.array_join(limits, ",").alias("limitations"), problem.alias("problem"))
+    known = ("prompt_tokens", "completion_tokens", "total_tokens", "prompt_tokens_details", "completion_tokens_details", "prompt_cache_hit_tokens", "prompt_cache_miss_tokens")
+    count = lambda c: F.when(c.rlike("^[0-9]{1,18}$"), c.cast("long"))
+
+    def counted(x: Column) -> Column:
+        u = x["u"]
+        return F.struct(
+            *[count(u[raw]).alias(name) for name, raw in zip(names, known, strict=False)], count(u["prompt_cache_hit_tokens"]).alias("hit"), count(u["prompt_cache_miss_tokens"]).alias("miss"),
+            count(u["prompt_tokens_details"]["cached_tokens"]).alias("nested"), count(u["completion_tokens_details"]["reasoning_tokens"]).alias("reasoning"),
+            u["prompt_cache_hit_tokens"].isNotNull().alias("has_hit"), u["prompt_cache_miss_tokens"].isNotNull().alias("has_miss"), F.array_sort(F.filter(x["keys"], lambda k: ~k.isin(*known))).alias("unknown"),
+        )
+
+    def judged(n: Column) -> Column:
+        problem = (
+            F.when(n[names[0]].isNull() | n[names[1]].isNull() | n[names[2]].isNull(), "base").when(n["has_hit"] != n["has_miss"], "alias_pair")
+            .when(n["has_hit"] & (n["hit"].isNull() | n["miss"].isNull() | (n["hit"] + n["miss"] != n[names[0]])), "alias_sum").when(n["has_hit"] & n["nested"].isNotNull() & (n["nested"] != n["hit"]), "alias_detail")
+        )
+        cached = F.coalesce(n["nested"], n["hit"])
+        missing = F.array_compact(F.array(F.when(cached.isNull(), "unavailable:cached_input_tokens"), F.when(n["reasoning"].isNull(), "unavailable:reasoning_tokens")))
+        limits = F.concat(F.transform(n["unknown"], lambda k: F.concat(F.lit("unknown_field:"), k)), missing)
+        return F.struct(n.alias("n"), cached.alias("cached"), problem.alias("problem"), F.array_join(limits, ",").alias("limitations"))
+
+    def shown(j: Column) -> Column:
+        whole = j["problem"].isNull()
+        proof = F.when(j["limitations"] == "", "measured_complete").otherwise("measured_partial")
+        values = {**{name: j["n"][name] for name in names}, "cached_input_tokens": j["cached"], "reasoning_tokens": j["n"]["reasoning"], "proof_status": proof}
+        return F.struct(*[F.when(whole, value).alias(name) for name, value in values.items()], j["limitations"].alias("limitations"), j["problem"].alias("problem"))
+
+    parsed = F.struct(F.from_json(body, _USAGE).alias("u"), F.json_object_keys(body).alias("keys"))
+    return bound(bound(bound(parsed, counted), judged), shown)
 
 
 def recall_score(scores: Column) -> Column:

@@ -11,12 +11,14 @@ from proofmill.sources.histories import session_document
 
 
 @query("""
-WITH v AS (SELECT o_orderkey, round(o_totalprice * 100)::BIGINT AS c, o_custkey % 7 AS e FROM orders), x AS (SELECT o_orderkey, CASE e WHEN 0 THEN c::DECIMAL(38,9) * 1000000 WHEN 1 THEN c::DECIMAL(38,9) WHEN 2 THEN c::DECIMAL(38,9) / 100 WHEN 3 THEN (c % 100000)::DECIMAL(38,9) / 100 WHEN 4 THEN -(c % 9000)::DECIMAL(38,9) / 1000 WHEN 5 THEN (c % 3)::DECIMAL(38,9) / 10000 ELSE c::DECIMAL(38,9) * 10 END::DECIMAL(38,9) AS v FROM v),
-s AS (SELECT *, abs(v) AS a, CASE WHEN abs(v) >= 1000000000 THEN ' B' WHEN abs(v) >= 1000000 THEN ' M' WHEN abs(v) >= 9999.5 THEN ' k' ELSE '' END AS suffix, CASE WHEN abs(v) >= 1000000000 THEN 1000000000 WHEN abs(v) >= 1000000 THEN 1000000 WHEN abs(v) >= 9999.5 THEN 1000 ELSE 1 END::BIGINT AS scale FROM x),
-p AS (SELECT *, CASE WHEN a < 10 * scale THEN 1000 WHEN a < 100 * scale THEN 100 WHEN a < 1000 * scale THEN 10 ELSE 1 END AS unit FROM s),
-r AS (SELECT *, ((a * 1000000000)::HUGEINT * unit * 2 + scale::HUGEINT * 1000000000) // (scale::HUGEINT * 2000000000) AS n FROM p),
+WITH v AS (SELECT o_orderkey, round(o_totalprice * 100)::HUGEINT AS c, o_custkey % 7 AS e FROM orders),
+x AS (SELECT o_orderkey, CASE e WHEN 0 THEN c * 1000000000000000 WHEN 1 THEN c * 1000000000 WHEN 2 THEN c * 10000000 WHEN 3 THEN (c % 100000) * 10000000 WHEN 4 THEN -(c % 9000) * 1000000 WHEN 5 THEN (c % 3) * 100000 ELSE c * 10000000000 END::HUGEINT AS v FROM v),
+s AS (SELECT o_orderkey, v, abs(v) AS a, CASE WHEN abs(v) >= 1000000000000000000 THEN ' B' WHEN abs(v) >= 1000000000000000 THEN ' M' WHEN abs(v) >= 9999500000000 THEN ' k' ELSE '' END AS suffix,
+  CASE WHEN abs(v) >= 1000000000000000000 THEN 1000000000 WHEN abs(v) >= 1000000000000000 THEN 1000000 WHEN abs(v) >= 9999500000000 THEN 1000 ELSE 1 END::HUGEINT * 1000000000 AS scale FROM x),
+p AS (SELECT *, CASE WHEN a < 10 * scale THEN 1000 WHEN a < 100 * scale THEN 100 WHEN a < 1000 * scale THEN 10 ELSE 1 END::HUGEINT AS unit FROM s),
+r AS (SELECT *, (a * unit * 2 + scale) // (scale * 2) AS n FROM p),
 t AS (SELECT *, (n // unit)::VARCHAR || CASE WHEN n % unit = 0 THEN '' ELSE '.' || rtrim(lpad((n % unit)::VARCHAR, (length(unit::VARCHAR) - 1)::INT, '0'), '0') END AS body FROM r)
-SELECT o_orderkey, CASE WHEN a > 0 AND a < 0.001 THEN CASE WHEN v > 0 THEN '<0.001' ELSE '>-0.001' END ELSE CASE WHEN v < 0 AND n > 0 THEN '-' ELSE '' END || body || suffix END AS text FROM t""")
+SELECT o_orderkey, CASE WHEN a > 0 AND a < 1000000 THEN CASE WHEN v > 0 THEN '<0.001' ELSE '>-0.001' END ELSE CASE WHEN v < 0 AND n > 0 THEN '-' ELSE '' END || body || suffix END AS text FROM t""")
 def display_numbers(spark: SparkSession, d: str) -> DataFrame:
     """Numbers of very different size in four significant digits."""
     c, e = F.round(F.col("o_totalprice") * 100).cast("long"), F.col("o_custkey") % 7
