@@ -149,8 +149,7 @@ WITH p AS (SELECT *, {_BODY} AS problem FROM conversations)
 SELECT conv_id, turn, problem, CASE WHEN problem IS NULL THEN regexp_replace(text, '^\\s+|\\s+$', '', 'g') END AS content, CASE WHEN problem IS NULL THEN 2 * length(text) END::BIGINT AS total_tokens FROM p""")
 def completion_parse(spark: SparkSession, d: str) -> DataFrame:
     """Content and usage of completions that are whole; else the first thing wrong with them."""
-    rows = _completion_bodies(spark, d).withColumn("c", ledger.completion(F.col("body")))
-    return rows.select("conv_id", "turn", "c.problem", "c.content", "c.total_tokens")
+    return _completion_bodies(spark, d).select("conv_id", "turn", F.inline(F.array(ledger.completion(F.col("body"))))).drop("prompt_tokens", "completion_tokens")
 
 
 @query(f"""
@@ -181,23 +180,23 @@ def usage_upgrade(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH l AS (SELECT *, l_quantity::BIGINT AS n, l_suppkey % l_quantity::BIGINT AS hit, round(l_tax * 100)::INT AS tax, round(l_discount * 100)::INT AS off FROM lineitem),
-p AS (SELECT *, CASE WHEN n < 2 THEN 'base' WHEN l_returnflag = 'A' AND tax = 8 THEN 'alias_pair' WHEN l_returnflag = 'A' AND tax = 7 THEN 'alias_sum' WHEN l_returnflag = 'A' AND off = 10 AND hit <> 0 THEN 'alias_detail' END AS problem FROM l)
-SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, problem, CASE WHEN problem IS NULL THEN n END AS input_tokens,
-  CASE WHEN problem IS NULL THEN CASE WHEN l_returnflag = 'A' THEN hit WHEN l_returnflag = 'R' THEN 0 END END AS cached_input_tokens,
-  CASE WHEN problem IS NULL THEN CASE WHEN l_returnflag <> 'N' AND l_linestatus = 'F' AND off <> 5 THEN 'measured_complete' ELSE 'measured_partial' END END AS proof_status,
-  concat_ws(',', CASE WHEN off = 5 THEN 'unknown_field:extra' END, CASE WHEN l_returnflag = 'N' THEN 'unavailable:cached_input_tokens' END, CASE WHEN l_linestatus <> 'F' THEN 'unavailable:reasoning_tokens' END) AS limitations FROM p""")
+WITH l AS (SELECT o_orderkey, o_custkey::BIGINT + 1 AS n, o_orderkey % (o_custkey + 1) AS hit, o_orderstatus AS flag, substr(o_orderpriority, 1, 1) AS kind, o_totalprice > 100000 AS thought FROM orders),
+p AS (SELECT *, CASE WHEN n < 20 THEN 'base' WHEN flag = 'F' AND kind = '1' THEN 'alias_pair' WHEN flag = 'F' AND kind = '2' THEN 'alias_sum' WHEN flag = 'F' AND kind = '3' AND hit <> 0 THEN 'alias_detail' END AS problem FROM l)
+SELECT o_orderkey, problem, CASE WHEN problem IS NULL THEN n END AS input_tokens, CASE WHEN problem IS NULL THEN CASE flag WHEN 'F' THEN hit WHEN 'P' THEN 0 END END AS cached_input_tokens,
+  CASE WHEN problem IS NULL THEN CASE WHEN flag <> 'O' AND thought AND kind <> '5' THEN 'measured_complete' ELSE 'measured_partial' END END AS proof_status,
+  concat_ws(',', CASE WHEN kind = '5' THEN 'unknown_field:extra' END, CASE WHEN flag = 'O' THEN 'unavailable:cached_input_tokens' END, CASE WHEN NOT thought THEN 'unavailable:reasoning_tokens' END) AS limitations FROM p""")
 def usage_details(spark: SparkSession, d: str) -> DataFrame:
     """Usage by nested detail, else by a pair of aliases that have to agree with each other and with the detail."""
-    n, tax, off, flag = F.col("l_quantity").cast("long"), F.round(F.col("l_tax") * 100).cast("int"), F.round(F.col("l_discount") * 100).cast("int"), F.col("l_returnflag")
-    hit = F.col("l_suppkey") % n
-    nested = F.when((flag == "R") | ((flag == "A") & (off == 10)), F.struct(F.lit(0).alias("cached_tokens")))
+    n, flag, kind = F.col("o_custkey") + 1, F.col("o_orderstatus"), F.substring("o_orderpriority", 1, 1)
+    hit, aliased = F.col("o_orderkey") % n, flag == "F"
+    nested = F.when((flag == "P") | (aliased & (kind == "3")), F.struct(F.lit(0).alias("cached_tokens")))
     body = F.to_json(F.struct(
-        F.when(n >= 2, n).alias("prompt_tokens"), n.alias("completion_tokens"), (2 * n).alias("total_tokens"), nested.alias("prompt_tokens_details"), F.when(F.col("l_linestatus") == "F", F.struct(F.lit(0).alias("reasoning_tokens"))).alias("completion_tokens_details"),
-        F.when(flag == "A", hit).alias("prompt_cache_hit_tokens"), F.when((flag == "A") & (tax != 8), n - hit + F.when(tax == 7, 1).otherwise(0)).alias("prompt_cache_miss_tokens"), F.when(off == 5, F.lit("x")).alias("extra"),
+        F.when(n >= 20, n).alias("prompt_tokens"), n.alias("completion_tokens"), (2 * n).alias("total_tokens"), nested.alias("prompt_tokens_details"), F.when(F.col("o_totalprice") > 100000, F.struct(F.lit(0).alias("reasoning_tokens"))).alias("completion_tokens_details"),
+        F.when(aliased, hit).alias("prompt_cache_hit_tokens"), F.when(aliased & (kind != "1"), n - hit + F.when(kind == "2", 1).otherwise(0)).alias("prompt_cache_miss_tokens"), F.when(kind == "5", F.lit("x")).alias("extra"),
     ))
-    rows = table(spark, d, "lineitem").withColumn("u", ledger.usage_details(body))
-    return rows.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "u.problem", "u.input_tokens", "u.cached_input_tokens", "u.proof_status", "u.limitations")
+    # inline takes the struct apart once; fields taken one by one would each parse the text again
+    rows = table(spark, d, "orders").select("o_orderkey", F.inline(F.array(ledger.usage_details(body))))
+    return rows.drop("visible_output_tokens", "supplier_reported_total_tokens", "reasoning_tokens")
 
 
 @query("""
@@ -209,7 +208,7 @@ def recall_scores(spark: SparkSession, d: str) -> DataFrame:
     scores = F.to_json(F.struct(
         F.when(kind != "error", F.col("event_id")).alias("final"), F.when((kind == "view") & (v > 20), v).alias("reranker"), F.when((kind == "click") & (v > 50), F.lit("high")).alias("semantic"), F.when(kind == "signup", 1).alias("other")
     ))
-    return table(spark, d, "events").withColumn("s", ledger.recall_score(scores)).select("event_id", "s.problem", "s.score")
+    return table(spark, d, "events").select("event_id", F.inline(F.array(ledger.recall_score(scores)))).select("event_id", "problem", "score")
 
 
 # --- ledgers, retries and chains ------------------------------------------------------------------------------------
