@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 WS = r"[\x20\x09-\x0D]"
 NOT_WS = r"[^\x20\x09-\x0D]"
 
-#: Documents in one Arrow batch, so that a batch of very long texts still fits a Python worker.
+#: Documents in one Arrow batch.
 BATCH_DOCS = 512
 
 
@@ -47,7 +47,7 @@ def beside(marks: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds."""
+    """Bound the documents of one Arrow batch, for this session; its bytes are bounded by Spark's own 64 MB a batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_DOCS))
 
 

@@ -18,8 +18,9 @@ SHARE = 1.5
 CAP = 2.0
 SEED = "mix-1"
 #: Cells of a source: CLASSES size classes of CLASS_WORDS words each, the last without an end, by PARTS parts of the ids,
-#: by RANGES ranges of the ids. However ids are dealt, at most CLASSES * PARTS * (RANGES + 1) cells of a source are ranked.
-CLASS_WORDS, CLASSES, PARTS, RANGES = 64, 512, 64, 32
+#: by a range of the ids for each RANGE_ROWS documents, RANGES at most. However ids are dealt, a source has at most
+#: CLASSES * PARTS * (RANGES + 1) cells. Order within a source does not depend on the number of ranges.
+CLASS_WORDS, CLASSES, PARTS, RANGES, RANGE_ROWS = 64, 512, 64, 32, 1 << 18
 
 
 def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -27,8 +28,8 @@ def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Data
     size = word_count(text_or_empty(text_col))
     key = F.xxhash64(F.col(id_col).cast("long"), F.col(source_col).cast("string"), F.col(text_col).cast("string"))
     rows = stored(docs.select(F.col(id_col).cast("long").alias("_id"), F.col(source_col).cast("string").alias("_source"), size.alias("_size"), key.alias("_key")), "mix-sizes")
-    low, high = rows.agg(F.min("_id"), F.max("_id")).head()
-    width = ((high or 0) - (low or 0)) // RANGES + 1
+    low, high, count = rows.agg(F.min("_id"), F.max("_id"), F.count("*")).head()
+    width = ((high or 0) - (low or 0)) // min(RANGES, 1 + count // RANGE_ROWS) + 1
     return rows.select(
         "*",
         F.least(F.floor(F.col("_size") / CLASS_WORDS), F.lit(CLASSES - 1)).cast("int").alias("_class"),

@@ -102,7 +102,9 @@ def test_token_stage_takes_edges(spark, sf_dir, edge, empty):
     assert [r.n_tokens for r in rows if r.doc_id in (1, 2)] == [1, 1] and STAGES["token_ids"](spark, empty, sf_dir).count() == 0
 
 
-def test_mixing_with_ids_of_one_remainder(spark, frame):
+@pytest.mark.parametrize("rows", [1 << 18, 10])
+def test_mixing_with_ids_of_one_remainder(spark, frame, monkeypatch, rows):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", rows)
     docs = frame([(64 * i, "w " * (i % 90), "ab"[i % 2]) for i in range(600)] + [(None, "a b c", None), (None, "a b c", None), (None, "d", None)])
     con = duckdb.connect()
     con.register("documents", docs.toArrow())
