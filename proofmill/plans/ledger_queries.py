@@ -329,25 +329,25 @@ def frozen_selection(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH m AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) AS ordinal FROM documents), r AS (SELECT doc_id, row_number() OVER (ORDER BY quality, doc_id) AS place FROM labels), q AS (SELECT r.*, ordinal FROM r LEFT JOIN m USING (doc_id)),
+WITH m AS (SELECT doc_id, n_chars * 1000000000 + doc_id AS ordinal FROM documents), r AS (SELECT doc_id, quality::BIGINT * 1000000000 + doc_id AS place FROM labels), q AS (SELECT r.*, ordinal FROM r LEFT JOIN m USING (doc_id)),
 b AS (SELECT *, max(ordinal) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM q)
 SELECT 'out_of_order' AS code, doc_id::VARCHAR AS ref FROM b WHERE ordinal < before UNION ALL SELECT 'unknown_request', doc_id::VARCHAR FROM b WHERE ordinal IS NULL""")
 def manifest_selection(spark: SparkSession, d: str) -> DataFrame:
     """A selection that has to be known, unique and in the manifest's order; what breaks that."""
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
-    m = docs.select("doc_id", F.row_number().over(Window.orderBy("n_chars", "doc_id")).alias("ordinal"))
-    asked = labels.select("doc_id", F.row_number().over(Window.orderBy("quality", "doc_id")).alias("place"))
+    m = docs.select("doc_id", (F.col("n_chars") * 1_000_000_000 + F.col("doc_id")).alias("ordinal"))
+    asked = labels.select("doc_id", (F.col("quality").cast("long") * 1_000_000_000 + F.col("doc_id")).alias("place"))
     return selecting.manifest_selection(m, m, asked, "doc_id", "ordinal")[1]
 
 
 @query("""
-WITH m AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS ordinal, sha256(CASE WHEN n_chars > 3000 THEN text || ' ' ELSE text END) AS sha FROM documents), l AS (SELECT DISTINCT doc_id FROM labels)
+WITH m AS (SELECT doc_id, doc_id - n_chars * 1000000000 AS ordinal, sha256(CASE WHEN n_chars > 3000 THEN text || ' ' ELSE text END) AS sha FROM documents), l AS (SELECT DISTINCT doc_id FROM labels)
 SELECT ordinal, m.doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing' WHEN sha256(text) <> sha THEN 'changed' END AS problem, CASE WHEN l.doc_id IS NOT NULL AND sha256(text) = sha THEN length(text) END AS chars FROM m LEFT JOIN l USING (doc_id) JOIN documents USING (doc_id)""")
 def question_texts(spark: SparkSession, d: str) -> DataFrame:
     """The manifest's questions in its order with their text, where it hashes to the manifest's digest."""
     docs = table(spark, d, "documents")
     sha = F.sha2(F.when(F.col("n_chars") > 3000, F.concat("text", F.lit(" "))).otherwise(F.col("text")).cast("binary"), 256)
-    m = docs.select("doc_id", F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id")).alias("ordinal"), sha.alias("sha"))
+    m = docs.select("doc_id", (F.col("doc_id") - F.col("n_chars") * 1_000_000_000).alias("ordinal"), sha.alias("sha"))
     rows = docs.select("doc_id", "text").join(table(spark, d, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
     found = ledger.question_texts(m, rows, "doc_id", "ordinal", "text", "sha")
     return found.select("ordinal", "doc_id", "problem", F.length("text").cast("long").alias("chars"))

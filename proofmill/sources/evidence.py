@@ -36,7 +36,7 @@ def read_shards(spark: SparkSession, manifest_path: str, root: str, schema: T.St
     records = spark.read.schema(schema).json(f"{root}/*.json.gz").withColumn("file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
     counts = records.groupBy("file").agg(F.count("*").alias("n"))
     checked = manifest.join(digests, "file", "left").join(counts, "file", "left").withColumn("mismatch", ~F.coalesce((F.col("actual") == F.col("sha256")) & (F.col("n") == F.col("count")), F.lit(False)))
-    return records.join(F.broadcast(checked.select("file", "arm", "dataset", "mismatch")), "file")
+    return records.join(checked.select("file", "arm", "dataset", "mismatch"), "file")
 
 
 def read_result_map(spark: SparkSession, path: str, value_schema: str, manifest: DataFrame, key: str, ordinal: str) -> DataFrame:
