@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import json
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -174,6 +175,20 @@ def render_template(template: pd.Series, variables: pd.Series) -> pd.Series:
     return pd.Series([one(t, v) for t, v in zip(template, variables, strict=True)])
 
 
+def first_number(json: Column, keys: list[str]) -> Column:
+    """The first number, at any depth and in the order of the text, under a key that contains one of ``keys``; else null.
+
+    Each string is taken whole, with the number that follows its colon if there is one, so what stands inside a string is
+    no key.
+    """
+    tokens = F.regexp_extract_all(json, F.lit(r'"(?:[^"\\]++|\\.)*+"(?:\s*+:\s*+-?[0-9][0-9.eE+-]*+)?'), F.lit(0))
+    number = lambda t: F.regexp_extract(t, r":\s*(-?[0-9][0-9.eE+-]*)$", 1)
+    name = lambda t: F.regexp_extract(t, r'^"((?:[^"\\]++|\\.)*+)"', 1)
+    holds = lambda t: reduce(Column.__or__, [F.contains(name(t), F.lit(k)) for k in keys])
+    found = F.filter(tokens, lambda t: (number(t) != "") & holds(t))
+    return F.try_element_at(F.transform(found, number), F.lit(1)).cast("double")
+
+
 def extracted_memories(value: Column) -> Column:
     """An array of (text, entry) from JSON text that holds one memory or a list, each a string or an object with text.
 

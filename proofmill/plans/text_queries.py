@@ -186,3 +186,15 @@ def hit_inventory(spark: SparkSession, d: str) -> DataFrame:
     inventory = spark.createDataFrame([("click",), ("view",)], "kind string")
     rows = table(spark, d, "events").join(F.broadcast(inventory), F.col("event_type") == F.col("kind"), "left")
     return rows.where(F.col("kind").isNotNull() | (F.col("event_id") % 10 == 0)).where(~F.isnan("value")).select("event_id", F.col("kind").isNotNull().alias("listed"))
+
+
+@query("""
+SELECT event_id, CASE event_type WHEN 'view' THEN value WHEN 'click' THEN event_id WHEN 'error' THEN user_id WHEN 'purchase' THEN round(value * 2, 2) END::DOUBLE AS found FROM events""")
+def nested_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """The first number at any depth under a key that contains an accepted name; texts and other keys do not count."""
+    kind, v = F.col("event_type"), F.col("value")
+    inner = F.struct(F.when(kind == "purchase", F.round(v * 2, 2)).alias("input_tokens"), F.lit("tokens\\\": 5").alias("note"))
+    body = F.to_json(F.struct(
+        F.col("event_type").alias("kind"), F.when(kind == "signup", F.lit("12")).alias("tokens"), F.when(kind == "view", v).alias("total_tokens"), F.array(F.struct(F.when(kind == "click", F.col("event_id")).alias("tokens_used"), F.when(kind == "error", F.col("user_id")).alias("mytokens"))).alias("list"), inner.alias("deep"),
+    ))
+    return table(spark, d, "events").select("event_id", text.first_number(body, ["tokens"]).alias("found"))

@@ -344,3 +344,12 @@ def test_a_leader_has_to_win_every_pair(spark):
     pairs = spark.createDataFrame([(1, "x", "y", "x"), (1, "x", "z", "x"), (1, "y", "z", None), (3, "x", "y", None), (3, "z", "x", "x")], "g long, left_arm string, right_arm string, leader string")
     got = {r.g: (r.leader, r.failed_predicate) for r in accuracy.report_leader(cells, pairs, ["g"], "arm", "k", "n", "complete").collect()}
     assert got == {1: ("x", ""), 2: (None, "unique_highest_accuracy"), 3: (None, "all_pairwise_thresholds"), 4: (None, "complete_equal_coverage")}
+
+
+def test_first_number_under_a_key(spark):
+    cases = {
+        '{"a": {"x": 1, "in_tokens": {"deep": 5, "tokens": -2.5}}, "tokens": 7}': -2.5, '{"tokens": "7", "b": [{"c": 1}, {"my_tokens": 3e2}]}': 300.0,
+        r'{"note": "\"tokens\": 5", "other": 1}': None, '{"x": 1}': None, "no json": None, r'{"q\"tokens": 4}': 4.0,
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "j string").select("j", text.first_number(F.col("j"), ["tokens"]).alias("n")).collect()
+    assert {r.j: r.n for r in rows} == cases
