@@ -82,13 +82,15 @@ def percent_text(num: Column, den: Column) -> Column:
 
 
 def cursor_encode(text: Column) -> Column:
-    """Base64 for URLs, without padding."""
-    return F.rtrim(F.translate(F.base64(text.cast("binary")), "+/", "-_"), F.lit("="))
+    """Base64 for URLs, without padding and without the line breaks that Spark sets after each 76 characters."""
+    return F.translate(F.base64(text.cast("binary")), "+/=\r\n", "-_")
 
 
 def cursor_decode(text: Column) -> Column:
+    """The text of a cursor; null for what is none: other characters, an impossible length or bytes that are no UTF-8."""
     padded = F.concat(F.translate(text, "-_", "+/"), F.repeat(F.lit("="), F.pmod(-F.length(text), F.lit(4))))
-    return F.unbase64(padded).cast("string")
+    cursor = text.rlike(r"^[A-Za-z0-9_-]*\z") & (F.length(text) % 4 != 1)
+    return F.when(cursor, F.try_validate_utf8(F.unbase64(padded).cast("string")))
 
 
 def path_name(uri: Column) -> Column:

@@ -353,3 +353,14 @@ def test_first_number_under_a_key(spark):
     }
     rows = spark.createDataFrame([(k,) for k in cases], "j string").select("j", text.first_number(F.col("j"), ["tokens"]).alias("n")).collect()
     assert {r.j: r.n for r in rows} == cases
+
+
+def test_cursors_of_any_length(spark):
+    import base64
+
+    texts = ["", "a", "?>~", "a=", "line\nline", *["é😀x"[: k % 4] + "y~?" * k for k in range(15, 60)], "u" * 100_000]
+    cursor = text.cursor_encode(F.col("t"))
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", cursor.alias("c"), text.cursor_decode(cursor).alias("back")).collect()
+    assert sorted((r.t, r.c, r.back) for r in rows) == sorted((t, base64.urlsafe_b64encode(t.encode()).decode().rstrip("="), t) for t in texts)
+    bad = [("abcde",), ("ab=",), ("ab\n",), ("a b",), ("_w",), (None,)]
+    assert [r[0] for r in spark.createDataFrame(bad, "t string").select(text.cursor_decode(F.col("t"))).collect()] == [None] * len(bad)
