@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofmill.llm.common import PIECE, distinct_spans, raw, small_batches
+from proofmill.llm.common import PIECE, distinct_spans, keeps, raw, small_batches
 from proofmill.session import partitions, shared_path, stored
 
 END_ID = 1
@@ -57,6 +57,15 @@ _LETTERS, _NUMBERS, _BLANKS = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "
 LATIN_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_BLANKS}{_LETTERS}{_NUMBERS}]+")
 
 
+def forget() -> None:
+    """Give up the tokenizers and the words that a worker remembers."""
+    for kept in (_tokenizers, _plain, _word_ends, _young, _old):
+        kept.clear()
+
+
+keeps(forget)
+
+
 def _tokenizer(path: str):
     if path not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

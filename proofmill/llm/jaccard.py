@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofmill.llm.common import beside, gram_sets, mix, raw, small_batches, text_or_empty
+from proofmill.llm.common import beside, gram_sets, lean, mix, raw, small_batches, text_or_empty, trim
 from proofmill.session import partitions, stored
 
 WORDS = 5
@@ -83,17 +83,28 @@ def _may_link(n1: int, sketch1: bytes, n2: int, sketch2: bytes) -> bool:
     return int(np.bitwise_count(x ^ y).sum()) * DEN <= n1 + n2
 
 
+def repeated(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values that occur twice at least, ascending, and how often; sorts ``values`` in place and needs little beside it."""
+    values.sort()
+    same = np.zeros(len(values) + 1, bool)
+    np.equal(values[1:], values[:-1], out=same[1:-1])
+    first, last = np.flatnonzero(same[1:] & ~same[:-1]), np.flatnonzero(same[:-1] & ~same[1:])
+    return values[first], last - first + 1
+
+
 _PROFILE = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int64()), ("set_id", pa.binary()), ("sketch", pa.binary()), ("gram", pa.int64()), ("times", pa.int64())])
 
 
+@lean
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document, and rows for n-grams that several sets of a run have."""
     run: dict[bytes, np.ndarray] = {}
     held = 0
 
     def counted() -> pa.RecordBatch:
-        grams, times = np.unique(np.concatenate([*run.values(), np.zeros(0, np.uint64)]), return_counts=True)
-        grams, times = grams[times > 1], times[times > 1]
+        every = np.concatenate([*run.values(), np.zeros(0, np.uint64)])
+        run.clear()
+        grams, times = repeated(every)
         none = pa.nulls(len(grams), pa.int64())
         return pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(grams), pa.binary()), pa.nulls(len(grams), pa.binary()), pa.array(grams.view(np.int64)), pa.array(times.astype(np.int64))], schema=_PROFILE)
 
@@ -108,7 +119,6 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(sketches, pa.binary()), none, none], schema=_PROFILE)
         if held > COUNTED:
             yield counted()
-            run.clear()
             held = 0
     if run:
         yield counted()
@@ -121,6 +131,7 @@ _LISTS = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("gram",
 _TYPES = {"gram": np.uint32, "owner": np.uint32, "pos": np.uint32, "set_id": _ID, "n": np.uint32, "rare": np.uint32}
 
 
+@lean
 def _index(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, rank: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     """Index entries of the prefixes, in one row for each run and bucket of n-grams."""
     seen: set[bytes] = set()
@@ -129,18 +140,22 @@ def _index(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, rank: np.nda
 
     def dealt() -> pa.RecordBatch:
         gram = np.concatenate([e[0] for e in entries])
-        lengths = [len(e[0]) for e in entries]
-        pos, owner = np.concatenate([np.arange(x) for x in lengths]), np.repeat(np.arange(len(entries)), lengths)
+        lengths = np.array([len(e[0]) for e in entries])
+        owner = np.repeat(np.arange(len(entries), dtype=np.uint32), lengths)
+        pos = np.arange(len(gram), dtype=np.uint32) - np.repeat((np.cumsum(lengths) - lengths).astype(np.uint32), lengths)
         ids, n, rare = (np.array([e[k] for e in entries], kind) for k, kind in ((1, _ID), (2, np.uint32), (3, np.uint32)))
-        bucket = (mix(gram) % np.uint64(buckets)).astype(np.int64)
+        entries.clear()
+        bucket = (mix(gram) % np.uint64(buckets)).astype(np.int32)
+        gram = (gram >> np.uint64(32)).astype(np.uint32)
         order = np.argsort(bucket, kind="stable")
-        present, first = np.unique(bucket[order], return_index=True)
+        bucket = bucket[order]
+        cuts = _bounds(bucket)
         rows = []
-        for name, lo, hi in zip(present.tolist(), first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
+        for name, lo, hi in zip(bucket[cuts[:-1]].tolist(), cuts, cuts[1:], strict=False):
             at = order[lo:hi]
             owners, times = np.unique(owner[at], return_counts=True)
             wide = np.uint16 if pos[at].max() < 1 << 16 else np.uint32
-            parts = ((gram[at] >> np.uint64(32)).astype(np.uint32), ids[owners], n[owners], pos[at].astype(wide), rare[owners], times.astype(np.uint32))
+            parts = (gram[at], ids[owners], n[owners], pos[at].astype(wide), rare[owners], times.astype(np.uint32))
             rows.append((name, *(x.tobytes() for x in parts)))
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _RUNS, strict=True)], schema=_RUNS)
 
@@ -153,7 +168,7 @@ def _index(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, rank: np.nda
             often = frequent[at] == grams if len(frequent) else np.zeros(len(grams), bool)
             n, rare = len(grams), int(len(grams) - often.sum())
             prefix = n - (NUM * n + NUM) // (NUM + 1) + 1
-            first = grams[~often][:prefix]
+            first = grams[np.flatnonzero(~often)[:prefix]]
             if len(first) < prefix:
                 last = grams[often][np.argsort(rank[at[often]], kind="stable")]
                 first = np.concatenate([first, last[: prefix - len(first)]])
@@ -161,7 +176,6 @@ def _index(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, rank: np.nda
             held += len(first)
         if held > RUN:
             yield dealt()
-            entries.clear()
             held = 0
         if len(seen) > 1_000_000:
             seen.clear()
@@ -184,20 +198,30 @@ def _lists(key: tuple, table: pa.Table) -> pa.Table:
     gram = np.concatenate([np.frombuffer(r["gram"], np.uint32) for r in rows])
     pos = np.concatenate([np.frombuffer(r["pos"], np.uint16 if 2 * len(r["pos"]) == len(r["gram"]) else np.uint32).astype(np.uint32) for r in rows])
     ids, n, rare, times = (np.concatenate([np.frombuffer(r[k], kind) for r in rows]) for k, kind in (("set_id", _ID), ("n", np.uint32), ("rare", np.uint32), ("times", np.uint32)))
+    del rows
     ids, first, number = np.unique(ids, return_index=True, return_inverse=True)
-    n, rare, owner = n[first], rare[first], np.repeat(number, times)
+    n, rare, owner = n[first], rare[first], np.repeat(number.astype(np.uint32), times)
     order = np.lexsort((pos, owner, n[owner], gram))
     gram, pos, owner = gram[order], pos[order], owner[order]
+    del order
     new = np.ones(len(gram), bool)
     new[1:] = (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])
     gram, pos, owner = gram[new], pos[new], owner[new]
-    _, where, count = np.unique(gram, return_inverse=True, return_counts=True)
-    keep = count[where] > 1
-    if not keep.any():
-        return _LISTS.empty_table()
-    used, owner = np.unique(owner[keep], return_inverse=True)
-    arrays = (gram[keep], owner.astype(np.uint32), pos[keep], ids[used], n[used], rare[used])
-    return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in arrays)], schema=_LISTS)
+    # entries whose n-gram the one before or after has too
+    same = np.zeros(len(gram) + 1, bool)
+    np.equal(gram[1:], gram[:-1], out=same[1:-1])
+    keep = same[1:] | same[:-1]
+    gram, pos, owner = gram[keep], pos[keep], owner[keep]
+    present = np.zeros(len(ids), bool)
+    present[owner] = True
+    owner = (np.cumsum(present) - 1).astype(np.uint32)[owner]
+    arrays = (gram, owner, pos, ids[present], n[present], rare[present])
+    found = _LISTS.empty_table()
+    if len(gram):
+        found = pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in arrays)], schema=_LISTS)
+    del gram, pos, owner, new, same, keep, arrays
+    trim()
+    return found
 
 
 def _bounds(gram: np.ndarray) -> list[int]:
@@ -227,6 +251,7 @@ def _hubs(c: dict[str, np.ndarray], cuts: list[int]) -> np.ndarray:
     return order[np.array(cuts[:-1], np.int64)]
 
 
+@lean
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (hub, other) of each list that may be linked."""
     for batch in batches:
@@ -289,6 +314,7 @@ def _bits(ids: np.ndarray, size: int) -> np.ndarray:
     return np.stack([mix(half + np.uint64(k)) % np.uint64(size) for k in range(1, 5)])
 
 
+@lean
 def _filter_part(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     bits = np.zeros(size, bool)
     some = False
@@ -301,6 +327,7 @@ def _filter_part(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array([x.tobytes() for x in blocks], pa.binary())], names=["block", "bits"])
 
 
+@lean
 def _filter_union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     blocks: dict[int, np.ndarray] = {}
     for batch in batches:
@@ -330,6 +357,7 @@ def _filter(ids: DataFrame, least: int) -> np.ndarray:
     return blocks.ravel()
 
 
+@lean
 def _bucket_sets(batches: Iterator[pa.RecordBatch], linked: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(bucket, set_id) for the linked sets in lists of three at least; the first pass has compared the two of shorter ones."""
     for batch in batches:
@@ -341,6 +369,7 @@ def _bucket_sets(batches: Iterator[pa.RecordBatch], linked: np.ndarray) -> Itera
             yield pa.RecordBatch.from_arrays([pa.array([batch.column("bucket")[row].as_py()] * len(ids), pa.int32()), _binary(ids)], names=["bucket", "set_id"])
 
 
+@lean
 def _gram_rows(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(set_id, n-grams) of the sets that the filter lets pass."""
     seen: set[bytes] = set()
@@ -358,6 +387,7 @@ def _gram_rows(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterato
 _LINKS = pa.schema([*_PAIRS, ("d", pa.int64()), ("delta", pa.binary())])
 
 
+@lean
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs that are linked, with the n-grams that one of the two has and the other lacks."""
     for batch in batches:
@@ -371,6 +401,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, schema=_LINKS).filter(pa.array([x is not None for x in deltas], pa.bool_()))
 
 
+@lean
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         columns = [c.to_pylist() for c in batch.columns[2:]]
